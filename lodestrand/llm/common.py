@@ -44,13 +44,11 @@ def _archive() -> str:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship this package to the executors, once a session, and hand Python small batches.
-
-    Long texts make the default of 10,000 rows a batch unbounded in bytes."""
+    """Ship this package to the executors, once a session, and bound the bytes of a batch for Python."""
     context = spark.sparkContext
     if not any(path.endswith(f"{PACKAGE}.zip") for path in context.listFiles):
         context.addPyFile(_archive())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
     return spark
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import decontaminate, eliasfano, linededup, ogg, packing, tokencounts, urls
+from lodestrand.llm import decontaminate, eliasfano, language, linededup, ogg, packing, ppm, tokencounts, urls
 
 QUERIES = {
+    "op2_lm_scoring": ppm.op2_lm_scoring,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_token_id_output": eliasfano.op4_token_id_output,
     "op5_packing": packing.op5_packing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_url_filter": urls.op7_url_filter,
     "op8_ogg_media": ogg.op8_ogg_media,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLE_SQL = {
