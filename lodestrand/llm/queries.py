@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import decontaminate, eliasfano, language, linededup, ogg, packing, ppm, tokencounts, urls
+from lodestrand.llm import decontaminate, eliasfano, jaccard, language, linededup, ogg, packing, ppm, tokencounts, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_lm_scoring": ppm.op2_lm_scoring,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_token_id_output": eliasfano.op4_token_id_output,
