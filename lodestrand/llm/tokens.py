@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from lodestrand.llm import common
 
 #: Chunks that a worker remembers at most; later ones are encoded anew with each batch.
-MEMO = 400_000
+MEMO = 1_000_000
 
 #: Characters that NFC leaves alone whatever stands beside them, and white space as all libraries see it.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*\\Z")
@@ -39,39 +39,45 @@ class Chunked:
         #: Lower-case vocabularies cut at any white space; others only at a space alone between two other characters.
         self.lowered, self.dtype, self.limit = lowered, dtype, memo
         self.unsafe = re.compile(r"\s\s")
+        #: Ids of chunks with the space before them, and of texts' first chunks, which have none.
         self.memo: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, text: str) -> list[str] | None:
-        """Pieces that the library may encode one by one; None where only the whole text is safe."""
+        """Pieces that the library may encode one by one, all but the first of them with a space
+        before; None where only the whole text is safe."""
         if any(x in text for x in self.specials):
             return None
         if self.lowered:
-            return text.lower().split() if _PLAIN.match(text) else None
-        if self.unsafe.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *(f" {x}" for x in rest)]
+            return ["", *text.lower().split()] if _PLAIN.match(text) else None
+        return None if self.unsafe.search(text) else text.split(" ")
+
+    def _known(self, chunks: set[str], memo: dict[str, bytes], space: str) -> dict[str, bytes]:
+        """The chunks' ids, from the memo or the library."""
+        known = {x: memo[x] for x in chunks if x in memo}
+        missing = [x for x in chunks if x not in known]
+        new = dict(zip(missing, self._encode([space + x for x in missing]), strict=True)) if missing else {}
+        if len(memo) + len(new) <= self.limit:
+            memo.update(new)
+        known.update(new)
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(x) for x in texts]
         whole = [k for k, x in enumerate(cut) if x is None]
-        out: list[bytes] = [b""] * len(texts)
+        first = [c.pop(0) if c else "" for c in cut]
+        heads = self._known(set(first), self.heads, "")
+        found: set[str] = set()
+        for c in cut:
+            found.update(c or ())
+        # The batch's own distinct chunks are looked up once in the memo, and then in a smaller table.
+        get = self._known(found, self.memo, "" if self.lowered else " ").__getitem__
+        out = [heads[head] + b"".join(map(get, c or ())) for head, c in zip(first, cut, strict=True)]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else (), strict=True):
             out[k] = ids
-        memo = self.memo
-        missing = list({x for c in cut if c is not None for x in c if x not in memo})
-        new = dict(zip(missing, self._encode(missing), strict=True)) if missing else {}
-        if len(memo) + len(new) <= self.limit:
-            memo.update(new)
-            get = memo.__getitem__
-        else:
-            get = lambda x: memo[x] if x in memo else new[x]
-        for k, c in enumerate(cut):
-            if c is not None:
-                out[k] = b"".join(map(get, c))
         return out
 
 
