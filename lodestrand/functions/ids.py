@@ -25,7 +25,7 @@ def vector_id(text: Column) -> Column:
 
 def collection_name(path: Column) -> Column:
     """The last component, in letters, digits and "_", and a hash of the whole path."""
-    last = F.element_at(F.filter(F.split(path, "/"), lambda x: (x != "") & (x != ".")), -1)
+    last = F.try_element_at(F.filter(F.split(path, "/"), lambda x: (x != "") & (x != ".")), F.lit(-1))
     last = F.when((last == "..") | last.isNull(), "collection").otherwise(last)
     clean = F.regexp_replace(last, "[^A-Za-z0-9]", "_")
     clean = F.when(clean.rlike("^[0-9]") | (clean == ""), F.concat(F.lit("_"), clean)).otherwise(clean)

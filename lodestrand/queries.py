@@ -480,7 +480,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG)
 
 
-_MD = f"WHERE doc_id % {len(ENDINGS)} = 1"
+_MD = f"WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % {len(ENDINGS)} = 1)"
 
 
 @query(f"WITH {LEGS.replace('@where@', _MD)}, fused AS ({FUSED} ORDER BY score DESC, doc_id LIMIT {K}) SELECT fused.doc_id, score, n_legs, source, lang FROM fused JOIN documents USING (doc_id)")
