@@ -12,8 +12,8 @@ components of those edges hold every pair that may be similar. Within a componen
 compared exactly, block by block: neither step emits pairs, a large node or component is cut into
 blocks that different tasks take, and there is no cap on either.
 
-Defined results: a null text, or one without words, is alone in its class and has no links;
-repeated rows are copies; an empty table gives an empty one; extra columns are not read. A null doc_id
+Defined results: texts without words are copies of those with the same bytes (null as empty) and
+have no links; repeated rows are copies; an empty table gives an empty one; extra columns are not read. A null doc_id
 is left out of the choice of class ids (null if a class has no other).
 """
 
@@ -104,6 +104,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def wordless(raw: bytes | None) -> bytes:
+    """What stands for the set of a text without words: its bytes."""
+    return xxhash.xxh3_128_digest(b"\0no words\0" + (raw or b""))
+
+
 SIGNED = T.StructType([T.StructField("set", T.BinaryType()), T.StructField("signature", T.BinaryType())])
 
 
@@ -111,7 +116,7 @@ def _sign() -> Callable[[list], Iterator[tuple]]:
     def work(texts: list) -> Iterator[tuple]:
         for raw in texts:
             own = shingles(raw)
-            yield (xxhash.xxh3_128_digest(own.tobytes()), signature(own).tobytes()) if len(own) else (None, None)
+            yield (xxhash.xxh3_128_digest(own.tobytes()), signature(own).tobytes()) if len(own) else (wordless(raw), None)
 
     return work
 
@@ -278,19 +283,19 @@ class JaccardJoin:
         self.docs = docs.select(F.col(doc_id).alias("id"), common.utf8(text).alias("text"))
         self.members = common.written(common.append_columns(self.docs, "text", _sign, SIGNED, ["text"]), "signatures")
         # Equal sets have equal signatures: any row's will do, and copies meet pre-aggregated.
-        known = self.members.where("set is not null")
-        grouped = known.groupBy("set").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+        grouped = self.members.groupBy("set").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
         self.classes = common.written(grouped, "classes")
         self.depth = matched_depth(similarity=threshold, target=target)
         self.components = self._candidates()
 
     def _candidates(self) -> DataFrame:
         """(node, component) of the classes that may have links."""
-        nodes = self.classes.select("set", "signature").mapInArrow(_tries(self.depth), TRIES)
+        signed = self.classes.select("set", "signature").where("signature is not null")
+        nodes = signed.mapInArrow(_tries(self.depth), TRIES)
         shared = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         # The last byte of each value is a sketch's place.
         met = nodes.join(shared, "node")
-        sketches = self.classes.select("set", "signature").mapInArrow(_sketches, "set binary, sketch binary")
+        sketches = signed.mapInArrow(_sketches, "set binary, sketch binary")
         rows = _dealt(met, "node", F.col("size"), "set", NODE_BLOCK).join(sketches, "set")
         blocks = rows.select("node", "i", "j", "set", "sketch").repartition(common.shuffle_partitions(self.spark), "node", "i", "j").sortWithinPartitions("node", "i", "j")
         edges = blocks.mapInArrow(_sketch_edges, EDGES).distinct()
@@ -329,8 +334,7 @@ class JaccardJoin:
         groups = named.join(least, "component").select("set", "class_id")
         all_classes = classes.join(groups, "set", "left").join(counts, "set", "left")
         out = self.members.select("id", "set").join(all_classes, "set", "left")
-        copy_id = F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("copy_id"))
-        return out.select("id", F.coalesce("class_id", copy_id).alias("class_id"), copy_id.alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        return out.select("id", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +350,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group that links join, columns unchanged: the first in the table's
-    order. Rows without words all stay."""
+    order."""
     row = common.fresh(docs.columns, "row")
     # The row numbers are written with the rows, so that every later reading finds the same ones.
     numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
