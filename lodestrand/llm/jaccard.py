@@ -357,3 +357,27 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", threshold: floa
     found = JaccardJoin(numbered, row, text, threshold).documents()
     first = found.where("id = class_id").select(F.col("id").alias("first"))
     return numbered.join(first, F.col(row) == F.col("first"), "left_semi").select(docs.columns)
+
+
+#: DuckDB: classes of equal shingle sets, exact similarities over shared shingles, and their closure.
+ORACLE = """
+WITH RECURSIVE dw AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT row_no, doc_id, t, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' '))) END AS s FROM dw
+), keyed AS (
+  SELECT row_no, doc_id, s, sha256(CASE WHEN len(s) = 0 THEN 'text ' || t ELSE 'set ' || array_to_string(list_sort(s), '|') END) AS key FROM sets
+), classes AS (SELECT key, min(doc_id) AS copy_id, any_value(s) AS s FROM keyed GROUP BY key),
+grams AS (SELECT key, len(s) AS size, unnest(s) AS gram FROM classes),
+links AS (
+  SELECT a.key AS a, b.key AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.key <> b.key
+  GROUP BY a.key, b.key, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))
+), reach AS (
+  SELECT key AS a, key AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), groups AS (SELECT r.a AS key, min(c.copy_id) AS class_id FROM reach r JOIN classes c ON r.b = c.key GROUP BY r.a),
+counts AS (SELECT a AS key, count(*) AS n FROM links GROUP BY a)
+SELECT k.doc_id, g.class_id, c.copy_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links
+FROM keyed k JOIN classes c USING (key) JOIN groups g USING (key) LEFT JOIN counts n USING (key)
+"""

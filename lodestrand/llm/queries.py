@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": jaccard.ORACLE,
     "op3_benchmark_decontamination": decontaminate.ORACLE,
+    "op7_url_filter": urls.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
 }

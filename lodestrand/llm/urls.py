@@ -114,3 +114,39 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return judge(pages).drop("inherited")
+
+
+def _rules_sql(column: str, host: str, path: str) -> str:
+    """CASE over the rules, the longest first."""
+    ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "allow"))
+    whens = (f"WHEN ({host} = '{h}' OR {host} LIKE '%.{h}') AND starts_with({path}, '{p}') THEN '{h + p if column == 'rule' else v}'" for v, h, p in ordered)
+    return f"CASE {' '.join(whens)} END"
+
+
+#: DuckDB: the same edges, closed by recursion.
+ORACLE = f"""
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER () AS row_no, page_id, url, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM pages
+), n AS (SELECT *, CASE WHEN contains(url, '://') THEN host || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS node FROM p),
+tags AS (
+  SELECT node, host, path, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b' AS must, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)' AS grab FROM n WHERE node IS NOT NULL
+  UNION ALL
+  SELECT node, host, path, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')), '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b', '(?is)\\bcontent\\s*=\\s*["'']?\\s*[\\d.]*\\s*[;,]\\s*url\\s*=\\s*["'']?([^"''\\s>]+)' FROM n WHERE node IS NOT NULL
+), targets AS (
+  SELECT node, host, path, trim(regexp_replace(regexp_extract(tag, grab, 1), '(?i)&amp;', '&', 'g')) AS t FROM tags WHERE regexp_matches(tag, must) AND regexp_matches(tag, grab)
+), whole AS (
+  SELECT node, CASE WHEN t = '' OR starts_with(t, '#') THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN starts_with(t, '/') THEN 'http://' || host || t WHEN starts_with(t, '?') THEN 'http://' || host || path || t
+    ELSE 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_replace(path, '[^/]*$', '') ELSE '/' END || t END AS url FROM targets
+), ends AS (
+  SELECT node AS a, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM whole WHERE contains(url, '://')
+), edges AS (SELECT DISTINCT a, host || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS b FROM ends),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+seen AS (SELECT a, {_rules_sql("verdict", "regexp_extract(b, '^[^/]*')", "regexp_replace(substr(b, length(regexp_extract(b, '^[^/]*')) + 1), '[?].*$', '', 's')")} AS v FROM reach),
+inherited AS (SELECT a, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM seen GROUP BY a)
+SELECT page_id, n.host, n.path, {_rules_sql("rule", "n.host", "n.path")} AS rule, coalesce({_rules_sql("verdict", "n.host", "n.path")}, i.v, 'allow') AS verdict
+FROM n LEFT JOIN inherited i ON n.node = i.a
+"""
