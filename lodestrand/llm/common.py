@@ -103,6 +103,16 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids of a few bytes that are surely small enough to be sent to every task.
+SENT_IDS = 1_000_000
+
+
+def small_ids(ids: DataFrame, most: int = SENT_IDS) -> DataFrame:
+    """ids, which must be written or cheap to count, marked to be broadcast if they are at most that
+    many; more ids are joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """name, or a variant of it that no column has; column names ignore case."""
     known = {x.lower() for x in taken}
@@ -129,8 +139,8 @@ def text_of(raw: bytes | None) -> str:
     return raw.decode("utf-8", "replace") if raw else ""
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Cut batches to BATCH_ROWS rows and, by the bytes of column number text, to about BATCH_BYTES."""
+def slices(batches: Iterable[pa.RecordBatch], text: int | None = None, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches to BATCH_ROWS rows and, by the bytes of column number text, to about `most`."""
     for batch in batches:
         start = 0
         while start < batch.num_rows:
@@ -138,7 +148,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: int | None = None) -> Iterat
             if text is not None and part.num_rows > 1:
                 lengths = pc.fill_null(pc.binary_length(part.column(text)), 0)
                 sums = pc.cumulative_sum(lengths.cast(pa.int64())).to_numpy(zero_copy_only=False)
-                part = part.slice(0, max(1, int(sums.searchsorted(BATCH_BYTES, side="right"))))
+                part = part.slice(0, max(1, int(sums.searchsorted(most, side="right"))))
             yield part
             start += part.num_rows
 

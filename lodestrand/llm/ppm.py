@@ -2,7 +2,7 @@
 
 The model is a trie of byte contexts with the counts of the bytes that follow them in the training
 texts. A byte is coded in its longest context (ORDER bytes); where that has not seen it, an escape is
-coded (method C: as likely as the number of distinct followers among all), and the next shorter
+coded (method D: each follower lends half a count to it), and the next shorter
 context is tried without the bytes that the longer ones have already excluded, down to equal chances.
 A document's score is the log10 probability of its bytes and an end symbol under the trained trie.
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,19 @@ from pyspark.sql import types as T
 
 from lodestrand.llm import common
 
-ORDER = 4
+ORDER = 5
 END = 256
 SYMBOLS = 257
 HELD_OUT = 10
 BLOCK_BYTES = 32 << 20
+#: Bytes of text whose contexts are made at once; a longer text is cut, with its last ORDER bytes before each part.
+RUN_BYTES = 4 << 20
+#: Contexts whose probabilities are computed at once, and bytes of packed texts that are read at once.
+CONTEXTS = 1024
+PACKED_BYTES = 1 << 20
 SMOOTHING = 0.1
+#: How far apart a partition's later blocks are placed.
+TURN = 7919
 #: The end as a token; no word holds a space.
 END_TOKEN = b" "
 
@@ -54,24 +62,39 @@ def tokens(raw: bytes) -> list[bytes]:
     return [*raw.split(), END_TOKEN]
 
 
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes context << 9 | symbol of all positions of lower-cased texts, ends included, and where
-    each text begins among them. Before its begin a text has zero bytes."""
-    pad = bytes(ORDER)
-    joined = np.frombuffer(b"".join(pad + x + b"\0" for x in texts), np.uint8).astype(np.uint64)
-    lengths = np.array([len(x) + 1 for x in texts])
-    first = np.cumsum(lengths + ORDER) - lengths
+def contexts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes context << 9 | symbol of all positions of lower-cased texts, ends included, in runs of about RUN_BYTES: (codes, where
+    each part of a text begins among them, the numbers of those texts). Before its begin a text has zero bytes."""
+    parts: list[tuple[bytes, int, int]] = []
+    size = 0
+    for number, text in enumerate(texts):
+        for at in range(0, max(len(text), 1), RUN_BYTES):
+            body = text[at : at + RUN_BYTES]
+            lead = text[max(0, at - ORDER) : at].rjust(ORDER, b"\0")
+            closed = at + RUN_BYTES >= len(text)
+            parts.append((lead + body + b"\0" * closed, closed, number))
+            size += len(body)
+            if size >= RUN_BYTES:
+                yield _codes_of(parts)
+                parts, size = [], 0
+    if parts:
+        yield _codes_of(parts)
+
+
+def _codes_of(parts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    joined = np.frombuffer(b"".join(x for x, _, _ in parts), np.uint8).astype(np.uint64)
+    lengths = np.array([len(x) - ORDER for x, _, _ in parts])
+    first = np.cumsum(lengths + ORDER) - lengths - ORDER
     context = np.zeros(len(joined) - ORDER, np.uint64)
     for k in range(ORDER):
         context |= joined[k : k + len(context)] << np.uint64(8 * (ORDER - 1 - k))
     codes = context << np.uint64(9) | joined[ORDER:]
-    ends = first + lengths - 1 - ORDER
+    ends = (first + lengths - 1)[[bool(closed) for _, closed, _ in parts]]
     codes[ends] = context[ends] << np.uint64(9) | np.uint64(END)
     inside = np.ones(len(codes), bool)
-    for k in range(ORDER):
-        gap = first[1:] - ORDER - ORDER + k
-        inside[gap] = False
-    return codes[inside], np.cumsum(lengths) - lengths
+    for k in range(1, ORDER + 1):
+        inside[first[1:] - k] = False
+    return codes[inside], np.cumsum(lengths) - lengths, np.array([n for _, _, n in parts])
 
 
 def counted(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +118,10 @@ def chances(levels: list[np.ndarray]) -> np.ndarray:
     for counts in levels:
         left = np.where(excluded, 0, counts)
         kinds = (left > 0).sum(1, keepdims=True)
-        total = left.sum(1, keepdims=True) + kinds
+        total = 2 * left.sum(1, keepdims=True)
         seen = total > 0
         share = escape / np.where(seen, total, 1)
-        out += share * left
+        out += share * np.maximum(2 * left - 1, 0)
         escape = np.where(seen, share * kinds, escape)
         excluded |= counts > 0
     rest = (~excluded).sum(1, keepdims=True)
@@ -110,18 +133,57 @@ def shard_scores(codes: np.ndarray, counts: np.ndarray, order1: np.ndarray, orde
     symbol = (codes & np.uint64(511)).astype(np.int64)
     context = codes >> np.uint64(9)
     last = int(context[0] & np.uint64(255))
-    third, fourth = (context >> np.uint64(16) & np.uint64(255)).astype(np.int64), (context >> np.uint64(24)).astype(np.int64)
-    order2 = np.bincount(symbol, counts, SYMBOLS)
+    shorter = []
+    for order in range(ORDER - 1, 1, -1):
+        names, row = np.unique(context & np.uint64((1 << 8 * order) - 1), return_inverse=True)
+        shorter.append((np.bincount(row * SYMBOLS + symbol, counts, len(names) * SYMBOLS).reshape(-1, SYMBOLS), row))
+    names, first, row = np.unique(context, return_index=True, return_inverse=True)
+    rank = np.argsort(row, kind="stable")
+    bounds = np.append(np.searchsorted(row[rank], np.arange(len(names))), len(row))
     out = np.empty(len(codes))
-    for c in np.unique(third):
-        own = np.flatnonzero(third == c)
-        names, row = np.unique(fourth[own], return_inverse=True)
-        order4 = np.bincount(row * SYMBOLS + symbol[own], counts[own], len(names) * SYMBOLS).reshape(-1, SYMBOLS)
-        p = chances([order4, order4.sum(0), order2, order1[last], order0])
-        out[own] = np.log10(p[row, symbol[own]])
+    for a in range(0, len(names), CONTEXTS):
+        b = min(a + CONTEXTS, len(names))
+        own = rank[bounds[a] : bounds[b]]
+        longest = np.bincount((row[own] - a) * SYMBOLS + symbol[own], counts[own], (b - a) * SYMBOLS).reshape(-1, SYMBOLS)
+        p = chances([longest, *(matrix[place[first[a:b]]] for matrix, place in shorter), order1[last], order0])
+        out[own] = np.log10(p[row[own] - a, symbol[own]])
     return out
 
 
+class Lookup:
+    """Values by code: a table of slots with linear probing, filled and read by whole arrays."""
+
+    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        bits = max(1, (2 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.keys, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, values.dtype)
+        slot = self._slot(codes)
+        while len(codes):
+            free = self.keys[slot] == self.EMPTY
+            self.keys[slot[free]] = codes[free]
+            won = self.keys[slot] == codes
+            self.values[slot[won]] = values[won]
+            codes, values, slot = codes[~won], values[~won], (slot[~won] + np.uint64(1)) & self.mask
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return codes * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        """The values of codes that are all in the table."""
+        slot = self._slot(codes)
+        out = self.values[slot]
+        rest = np.flatnonzero(self.keys[slot] != codes)
+        slot = slot[rest]
+        while len(rest):
+            slot = (slot + np.uint64(1)) & self.mask
+            out[rest] = self.values[slot]
+            missed = self.keys[slot] != codes[rest]
+            rest, slot = rest[missed], slot[missed]
+        return out
+
+
 def held_out(doc_id: Column, parts: int = HELD_OUT) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)) == 0, F.lit(False))
 
@@ -132,24 +194,29 @@ COPY = T.StructType(
 
 
 def _blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> DataFrame:
-    """A copy of the lower-cased texts, with block numbers; a block is a run of rows of one partition."""
+    """A copy of the lower-cased texts, compressed one by one, with block numbers; a block is a run of rows of one partition."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), common.utf8(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
+        pack = zstandard.ZstdCompressor(level=1).compress
         for part in common.slices(batches, 2):
             texts = [lowered(x) for x in common.as_bytes(part.column(2))]
             if size > block_bytes:
                 block, size = block + 1, 0
             size += sum(map(len, texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary()), pa.array([block] * len(texts), pa.int64())], names=COPY.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(pack, texts)), pa.binary()), pa.array([block] * len(texts), pa.int64())], names=COPY.names)
 
     spark = docs.sparkSession
     path = common.scratch(spark, "texts")
-    rows.mapInArrow(run, COPY).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, COPY).write.option("compression", "none").parquet(path)
     return spark.read.schema(COPY).parquet(path)
 
 
+def unpacked(texts: list[bytes]) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, texts))
+
+
 WORDS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 CODES = T.StructType([T.StructField("block", T.LongType()), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -157,7 +224,7 @@ CODES = T.StructType([T.StructField("block", T.LongType()), T.StructField("code"
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[list[bool], list[bytes]]]]]:
     """A partition's slices, grouped by runs of one block."""
     block, held = None, []
-    for part in common.slices(batches, 1):
+    for part in common.slices(batches, 1, PACKED_BYTES):
         numbers = part.column(2).to_numpy()
         cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
         for a, b in zip(cuts, cuts[1:]):
@@ -177,7 +244,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, parts in _blocks_of(batches):
         counts: Counter[bytes] = Counter()
         for held, texts in parts:
-            for out, raw in zip(held, texts, strict=True):
+            for out, raw in zip(held, unpacked(texts), strict=True):
                 if out:
                     for word in tokens(raw):
                         counts.setdefault(word, 0)
@@ -191,14 +258,13 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, parts in _blocks_of(batches):
         found, counts = [], []
         for held, texts in parts:
-            learned = [x for out, x in zip(held, texts, strict=True) if not out]
-            others = [x for out, x in zip(held, texts, strict=True) if out]
-            for own, learns in ((learned, True), (others, False)):
-                if own:
-                    codes, n = counted(contexts(own)[0])
+            raw = unpacked(texts)
+            for learns in (True, False):
+                for run, _, _ in contexts([x for out, x in zip(held, raw, strict=True) if out != learns]):
+                    codes, n = counted(run)
                     found.append(codes)
                     counts.append(n if learns else np.zeros_like(n))
-            if len(found) > 64:
+            if len(found) > 32:
                 codes, n = counted(np.concatenate(found), np.concatenate(counts))
                 found, counts = [codes], [n]
         codes, n = counted(np.concatenate(found), np.concatenate(counts))
@@ -248,7 +314,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes: list[np.ndarray] = []
     scores: list[np.ndarray] = []
     logs: dict[bytes, float] = {}
-    table = values = None
+    table: Lookup | None = None
     for batch in batches:
         numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         cuts = [0, *(np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(numbers)]
@@ -262,26 +328,28 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes.append(part.column(2).to_numpy())
                 scores.append(part.column(4).to_numpy())
             elif kinds[a] == 1:
-                logs.update(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True))
+                counts = part.column(4).to_numpy() + SMOOTHING
+                logs.update(zip(part.column(3).to_pylist(), np.log10(counts).tolist(), strict=True))
             else:
                 if table is None:
-                    table, values = np.concatenate(codes), np.concatenate(scores)
-                    order = np.argsort(table)
-                    table, values, codes, scores = table[order].astype(np.uint64), values[order], [], []
-                for piece in common.slices([part], 3):
-                    yield _sums(piece, table, values, logs)
+                    table = Lookup(np.concatenate(codes).astype(np.uint64), np.concatenate(scores))
+                    codes, scores = [], []
+                for piece in common.slices([part], 3, PACKED_BYTES):
+                    yield _sums(piece, table, logs)
 
 
-def _sums(part: pa.RecordBatch, table: np.ndarray, values: np.ndarray, logs: dict[bytes, float]) -> pa.RecordBatch:
-    texts = part.column(3).to_pylist()
-    found, starts = contexts(texts)
-    totals = np.add.reduceat(values[np.searchsorted(table, found)], starts)
+def _sums(part: pa.RecordBatch, table: Lookup, logs: dict[bytes, float]) -> pa.RecordBatch:
+    texts = unpacked(part.column(3).to_pylist())
+    totals = np.zeros(len(texts))
+    for codes, starts, owners in contexts(texts):
+        np.add.at(totals, owners, np.add.reduceat(table.get(codes), starts))
     n, known, base = [], [], []
     for raw in texts:
-        own = [logs[x] for x in tokens(raw)]
+        words = tokens(raw)
+        own = np.fromiter(map(logs.__getitem__, words), np.float64, len(words))
         n.append(len(own))
-        known.append(sum(x > 0 for x in own))
-        base.append(math.fsum(own))
+        known.append(int((own > 0).sum()))
+        base.append(float(own.sum()))
     columns = [part.column(5), part.column(6), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(totals)]
     return pa.RecordBatch.from_arrays(columns, names=SCORED.names)
 
@@ -307,10 +375,13 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     gathered = (
         shaped(scores, block=F.col("block"), kind=F.lit(0), code=F.col("code"), value=F.col("score"))
-        .unionAll(shaped(words, block=F.col("block"), kind=F.lit(1), key=F.col("word"), value=F.log10(F.col("c") + F.lit(SMOOTHING))))
+        .unionAll(shaped(words, block=F.col("block"), kind=F.lit(1), key=F.col("word"), value=F.col("c")))
         .unionAll(shaped(copy, block=F.col("block"), kind=F.lit(2), key=F.col("text"), doc_id=F.col("doc_id"), held_out=F.col("held_out")))
     )
-    placed = gathered.repartition(common.shuffle_partitions(spark), "block").sortWithinPartitions("block", "kind")
+    # Blocks are numbered by input partition: in turn they fill the tasks evenly, where a hash would not.
+    n = common.shuffle_partitions(spark)
+    place = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(TURN), F.lit(n)).cast("int")
+    placed = gathered.repartitionById(n, place).sortWithinPartitions("block", "kind")
     sums = placed.mapInArrow(_score, SCORED)
     each = math.log10(n_tokens + SMOOTHING * (kinds + 1))
     return sums.select(
