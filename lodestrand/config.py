@@ -18,6 +18,10 @@ EXTENSIONLESS_FILES = ["dockerfile", "makefile", "justfile", "rakefile"]
 # Names that are recorded with an index, and applied where asked for.
 DEFAULT_IGNORE_PATTERNS = "node_modules .git .hg .svn target dist build __pycache__ .pytest_cache .venv venv .tox .eggs".split()
 
+# The ignore file of each folder, and the folder below the user's home that holds a global one.
+IGNORE_FILE = ".contextignore"
+GLOBAL_IGNORE_FOLDER = ".context"
+
 # The extensions of each language that has a syntax splitter.
 LANGUAGE_EXTENSIONS = {
     "python": "py pyw pyi",
@@ -102,7 +106,7 @@ class Settings:
     follow_symlinks: bool = False
     extensions: tuple[str, ...] = tuple(SUPPORTED_EXTENSIONS)
     ignore_patterns: tuple[str, ...] = tuple(DEFAULT_IGNORE_PATTERNS)
-    ignore_file: str = ".contextignore"
+    ignore_file: str = IGNORE_FILE
     apply_default_ignores: bool = False
     apply_max_file_size: bool = False
     split: SplitConfig = field(default=None)  # type: ignore[assignment]

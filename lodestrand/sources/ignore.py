@@ -7,6 +7,8 @@ import re
 from dataclasses import dataclass
 from pathlib import Path
 
+from lodestrand.config import GLOBAL_IGNORE_FOLDER
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -79,7 +81,7 @@ class Ignores:
         self.root, self.ignore_file = root, ignore_file
         home = home or Path(os.environ.get("HOME", "/nonexistent"))
         self.repository = next((p for p in (root, *root.parents) if (p / ".git").exists()), None)
-        self.shared = self._read(home / ".context" / ignore_file)
+        self.shared = self._read(home / GLOBAL_IGNORE_FOLDER / ignore_file)
         self.last = parse("\n".join(patterns))
         self.vcs_global, self.vcs_exclude = [], []
         if self.repository:
