@@ -1,17 +1,27 @@
-"""Distributed connected components by alternating large-star and small-star steps."""
+"""Distributed connected components by alternating large-star and small-star steps.
+
+A graph of at most SMALL_GRAPH edges, which is counted first, takes one task with a union-find
+instead of rounds of shuffles; a larger one is never gathered.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.llm import common
 
 #: Steps double what a label has travelled; this many serve any graph that a cluster can hold.
 MOST_ROUNDS = 100
+#: Edges that one task's memory surely holds: about 100 MB.
+SMALL_GRAPH = 200_000
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b", small: int = SMALL_GRAPH) -> DataFrame:
     """(node, component): the smallest node of each node's component, for all nodes of the edges.
 
     Edges with a null end are ignored. Each round is two joins and two pre-aggregated minima on node;
@@ -21,6 +31,10 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     common.ensure_checkpoints(spark)
     pairs = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
     stars = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    if stars.count() <= small:
+        kind = stars.schema["u"].dataType
+        schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
+        return stars.repartition(1).mapInArrow(_united, schema)
     seen = None
     for _ in range(MOST_ROUNDS):
         stars = _small_star(_large_star(stars)).checkpoint()
@@ -33,6 +47,29 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v")).distinct()
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of one partition, the smallest node for each component."""
+    above: dict = {}
+
+    def top(x):  # noqa: ANN001, ANN202
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            above.setdefault(u, u)
+            above.setdefault(v, v)
+            a, b = top(u), top(v)
+            above[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=["node", "component"])
+
+
 def _large_star(stars: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
     both = stars.union(stars.select("v", "u")).where("u <> v")
