@@ -306,8 +306,9 @@ class JaccardJoin:
         sizes = self.components.groupBy("component").agg(F.count("*").alias("size"))
         placed = self.components.withColumnRenamed("node", "set").join(sizes, "component")
         wanted = self.classes.select("set", "id").join(placed, "set")
-        ids = wanted.select(F.col("id").alias("wanted")).distinct()
-        texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+        ids = common.written(wanted.select(F.col("id").alias("wanted")).distinct(), "wanted")
+        # Of few candidates the ids go to the texts, instead of all texts to the ids.
+        texts = self.docs.join(common.small_ids(ids), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
         # Rows that share an id may have other texts: the set itself decides, and each is taken once.
         sets = texts.mapInArrow(_sets, SETS).groupBy("set").agg(F.first("hashes").alias("hashes"))
         rows = _dealt(placed, "component", F.col("size"), "set", TEXT_BLOCK).join(sets, "set")
@@ -355,8 +356,8 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", threshold: floa
     # The row numbers are written with the rows, so that every later reading finds the same ones.
     numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = JaccardJoin(numbered, row, text, threshold).documents()
-    first = found.where("id = class_id").select(F.col("id").alias("first"))
-    return numbered.join(first, F.col(row) == F.col("first"), "left_semi").select(docs.columns)
+    gone = common.written(found.where("id <> class_id").select(F.col("id").alias("gone")), "gone")
+    return numbered.join(common.small_ids(gone), F.col(row) == F.col("gone"), "left_anti").select(docs.columns)
 
 
 #: DuckDB: classes of equal shingle sets, exact similarities over shared shingles, and their closure.
