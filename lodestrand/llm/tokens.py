@@ -19,6 +19,8 @@ from lodestrand.llm import common
 
 #: Chunks that a worker remembers at most; later ones are encoded anew with each batch.
 MEMO = 1_000_000
+#: Chunks that are encoded as one text.
+JOINED = 500
 
 #: Characters that NFC leaves alone whatever stands beside them, and white space as all libraries see it.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*\\Z")
@@ -39,6 +41,10 @@ class Chunked:
         #: Lower-case vocabularies cut at any white space; others only at a space alone between two other characters.
         self.lowered, self.dtype, self.limit = lowered, dtype, memo
         self.unsafe = re.compile(r"\s\s")
+        #: Whether an id begins a chunk that has a space before it (or, in lower-case vocabularies, ends a word).
+        names = [self.library.id_to_token(k) or "" for k in range(self.library.get_vocab_size())]
+        self.mark = np.array([x.endswith("</w>") if lowered else x.startswith("Ġ") for x in names])
+        self.joinable = re.compile(r"[^\W\d_]+\Z" if lowered else r"\S+\Z").match
         #: Ids of chunks with the space before them, and of texts' first chunks, which have none.
         self.memo: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -59,12 +65,30 @@ class Chunked:
         """The chunks' ids, from the memo or the library."""
         known = {x: memo[x] for x in chunks if x in memo}
         missing = [x for x in chunks if x not in known]
-        new = dict(zip(missing, self._encode([space + x for x in missing]), strict=True)) if missing else {}
+        new: dict[str, bytes] = {}
+        if space or self.lowered:
+            plain = list(filter(self.joinable, missing))
+            for k in range(0, len(plain), JOINED):
+                new.update(self._together(plain[k : k + JOINED], space))
+            missing = [x for x in missing if x not in new]
+        if missing:
+            new.update(zip(missing, self._encode([space + x for x in missing]), strict=True))
         if len(memo) + len(new) <= self.limit:
             memo.update(new)
         known.update(new)
         return known
 
+    def _together(self, chunks: list[str], space: str) -> dict[str, bytes]:
+        """The chunks' ids from one text that holds them all: each has one marked id, its first (or
+        last). Should their number differ, none is given."""
+        ids = np.array(self.library.encode_batch_fast([space + " ".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
+        marked = np.flatnonzero(self.mark[ids])
+        if len(marked) != len(chunks):
+            return {}
+        cuts = np.concatenate([[0], marked + 1] if self.lowered else [marked, [len(ids)]]) * ids.itemsize
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        return {x: raw[a:b] for x, a, b in zip(chunks, cuts, cuts[1:], strict=False)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(x) for x in texts]
         whole = [k for k, x in enumerate(cut) if x is None]
