@@ -49,10 +49,12 @@ class Chunked:
     def chunks(self, text: str) -> list[str] | None:
         """Pieces that the library may encode one by one, all but the first of them with a space
         before; None where only the whole text is safe."""
-        if any(x in text for x in self.specials):
+        # The library looks for special strings before it lowers a text: one that only lowering makes must not reach it as a chunk.
+        small = text.lower() if self.lowered else text
+        if any(x in text or x in small for x in self.specials):
             return None
         if self.lowered:
-            return ["", *text.lower().split()] if _PLAIN.match(text) else None
+            return ["", *small.split()] if _PLAIN.match(text) else None
         return None if self.unsafe.search(text) else text.split(" ")
 
     def _known(self, chunks: set[str], memo: dict[str, bytes], space: str) -> dict[str, bytes]:

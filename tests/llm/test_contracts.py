@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lodestrand.llm import decontaminate, eliasfano, jaccard, language, linededup, packing, ppm, queries, tokencounts
-from tests.llm.conftest import corpus, left_out, same, texts
+from tests.llm.conftest import corpus, left_out, same, texts, write
 
 VOCABULARY = "/opt/tokenizers/"
 
@@ -81,6 +81,19 @@ def test_op4_reads_back_the_library_ids(spark, odd):
     assert order == sorted(order)
 
 
+def test_op4_special_strings_of_any_case(spark, tmp_path):
+    """Ids, and the starts of the documents after them, where a special string has capitals."""
+    library = Tokenizer.from_file(VOCABULARY + eliasfano.TOKENIZER)
+    rows = [(1, "a <|ENDOFTEXT|> b"), (2, "x <|StartOfText|>"), (3, "after <|endoftext|>"), (4, "plain")]
+    want, start = [], 0
+    for i, t in rows:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = eliasfano.op4_token_id_output(spark, write(tmp_path, [(i, t, None, None, None) for i, t in rows], []))
+    assert sorted(tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
 def test_op5_pieces(spark, odd):
     library = Tokenizer.from_file(VOCABULARY + packing.TOKENIZER)
     coded = Counter()

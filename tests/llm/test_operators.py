@@ -213,6 +213,13 @@ def test_chunked_ids_are_the_library_ids(name, memo):
     assert coder.encode(rows[:700]) + coder.encode(rows[700:]) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_strings_of_any_case(name):
+    rows = ["a <|ENDOFTEXT|> b", "x<|EndOfText|>y", "<|startOfText|>", "a <|endoftext|> B <|ENDOFTEXT|>", "plain A"]
+    coder = tokens.Chunked(TOKENIZERS + name, name.startswith("word"), "<u2")
+    assert coder.encode(rows) == [np.array(x.ids, "<u2").tobytes() for x in coder.library.encode_batch(rows, add_special_tokens=False)]
+
+
 def test_whole_tokens_and_counts():
     path = TOKENIZERS + tokencounts.TOKENIZER
     proven = tokencounts.whole_tokens(path)
