@@ -201,6 +201,21 @@ DIGEST = T.StructType(
 )
 
 
+def digests(file: IdFile, base: int) -> Iterator[pa.RecordBatch]:
+    """DIGEST rows of a file whose first id has the global place base, BATCH_ROWS documents at a time.
+
+    Each boundary is selected once, as the end of its document and the start of the next; there is no table of them."""
+    names, end = file.doc_ids(), file.start(0)
+    for at in range(0, file.n, common.BATCH_ROWS):
+        starts, lengths, crcs = [], [], []
+        for i in range(at, min(at + common.BATCH_ROWS, file.n)):
+            start, end = end, file.start(i + 1)
+            starts.append(base + start)
+            lengths.append(end - start)
+            crcs.append(zlib.crc32(file.array[start:end].astype("<u4")))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (names[at : at + len(starts)], starts, lengths, crcs)], names=DIGEST.names)
+
+
 def read_ids(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> DataFrame:
     """A row for each document of the files: doc_id, its global start, its number of ids, their CRC.
 
@@ -217,12 +232,7 @@ def read_ids(spark: SparkSession, folder: str, files: list[tuple[str, int]]) ->
                 name = batch.column(0)[k].as_py().rpartition("/")[2]
                 if name not in shared.value:
                     continue
-                file = IdFile(batch.column(1)[k].as_buffer())
-                bounds = file.bounds.all()
-                crcs = [zlib.crc32(file.array[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids(), pa.int64()), pa.array(bounds[:-1] + shared.value[name]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], names=DIGEST.names
-                )
+                yield from digests(IdFile(batch.column(1)[k].as_buffer()), shared.value[name])
 
     return found.mapInArrow(run, DIGEST)
 

@@ -182,6 +182,19 @@ def test_id_file():
     assert len(bound.tobytes()) * 8 / bound.n < 10.5
 
 
+def test_digests_select_each_boundary(monkeypatch):
+    """Documents read back by select alone, over several batches, with empty ones among them."""
+    rnd = random.Random(3)
+    lengths = [rnd.choice([0, 1, 5, 300]) for _ in range(2 * eliasfano.common.BATCH_ROWS + 7)]
+    ids = np.array([rnd.randint(0, 60_000) for _ in range(sum(lengths))], "<u2")
+    names = [None, None, *range(-3, len(lengths) - 5)]
+    file = eliasfano.IdFile(eliasfano.file_bytes(names, lengths, ids.tobytes(), 2))
+    monkeypatch.setattr(file.bounds, "all", None)
+    got = [tuple(r.values()) for b in eliasfano.digests(file, 1 << 33) for r in b.to_pylist()]
+    ends = np.cumsum(lengths).tolist()
+    assert got == [(i, (1 << 33) + e - n, n, zlib.crc32(ids[e - n : e].astype("<u4").tobytes())) for i, e, n in zip(names, ends, lengths, strict=True)]
+
+
 # 5 and 6
 
 
