@@ -6,8 +6,10 @@ block shift table skips positions where no pattern can end, suffix-hash buckets
 patterns that may end at the others, and a direct comparison confirms each occurrence.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
-window; items with equal windows all count; repeated rows each get their own result; an empty
-table gives an empty result; an empty benchmark gives no hits. Extra columns are left alone.
+window; an item with a null item_id is not searched for, as in ORACLE: words that only it holds are
+no hits and its documents stay; items with equal windows all count; repeated rows each get their own
+result; an empty table gives an empty result; an empty benchmark gives no hits. Extra columns are
+left alone.
 """
 
 from __future__ import annotations
