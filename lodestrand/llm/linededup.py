@@ -3,9 +3,10 @@
 A key is a line without the white space at its ends and with A-Z lower-cased. LineRuns holds, for
 each key of enough code points, a 128-bit hash, how many documents hold it and the largest of their
 ids, in runs sorted by hash. A batch of documents becomes a run of level 0; as soon as a level has
-FANOUT runs, they are merged into one run of the next level. The documents of a batch are
-merge-anti-joined with the runs: a line goes if enough documents hold its key and a document with a
-larger id does.
+FANOUT runs, they are merged into one run of the next level, by a union and a groupBy on the hash that
+does not use the runs' order. A line goes if enough documents hold its key and a document with a
+larger id does. Both are known only when the last batch is in, so batches are not anti-joined with
+the runs as they arrive: one join at the end holds the lines of all batches against the final counts.
 
 Defined results: a null or empty text is one empty line, which is too short to drop; a null doc_id
 is smaller than any other; rows that share a doc_id are one document for the counts and each get a
