@@ -4,9 +4,12 @@ A text is its set of hashes of five words in a row (runs of ASCII letters, digit
 shorter text is one shingle). Texts with equal sets are copies and one class; all that follows is
 done with one row per class, and a class's links are counted once.
 
-The forest has TREES tries; a class's place in each is a prefix of up to DEPTH of its MinHash values.
-Tries are sorted runs of these prefixes, and the matched prefix is shortened until the recall at the
-threshold reaches TARGET. Classes below one trie node are compared by sketches of one byte per
+The forest has TREES trees of DEPTH MinHash values, of which a prefix is matched. Its length follows
+from TREES, DEPTH, the threshold and TARGET alone (4 by default), not from the data, so this is fixed
+banding, 20 x 4: prefixes are hashed and equal hashes grouped, and no sorted run of prefixes is made
+or searched. A search that shortens prefixes level by level would have to go down to the same length
+to reach TARGET at the threshold, and longer matches are among those of the shorter prefix. The other values
+serve the sketches only. Classes below one node are compared by sketches of one byte per
 hash, with a margin of over five standard deviations, and joined to trees of edges; connected
 components of those edges hold every pair that may be similar. Within a component the shingle sets of all pairs are
 compared exactly, block by block: neither step emits pairs, a large node or component is cut into
