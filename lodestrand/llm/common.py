@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
@@ -103,14 +105,59 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids of a few bytes that are surely small enough to be sent to every task.
-SENT_IDS = 1_000_000
+#: Keys that hot_join broadcasts; and the bits of an IdFilter, whatever the number of ids: 16 MB.
+HOT_KEYS = 1024
+FILTER_BITS = 1 << 27
 
 
-def small_ids(ids: DataFrame, most: int = SENT_IDS) -> DataFrame:
-    """ids, which must be written or cheap to count, marked to be broadcast if they are at most that
-    many; more ids are joined by a shuffle."""
-    return F.broadcast(ids) if ids.count() <= most else ids
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one row per key and in weight about how many rows of left it meets.
+
+    The HOT_KEYS heaviest keys are broadcast, always that many at most, so that their rows stay where they
+    are; all other rows are joined by a shuffle. right is read twice: it should be written or cheap."""
+    heavy = written(right.orderBy(F.desc(weight), key).limit(HOT_KEYS), "heavy")
+    names = F.broadcast(heavy.select(key))
+    few = left.join(F.broadcast(heavy), key)
+    rest = left.join(names, key, "left_anti").join(right.join(names, key, "left_anti"), key, how)
+    return few.unionByName(rest)
+
+
+class IdFilter:
+    """A set of ids as FILTER_BITS bits, one for each id by its hash: it has all the ids and a few others.
+
+    Rows that it does not have need no join, and so no shuffle, to be told from the ids; those that it has
+    are joined to be exact. It takes the same space for any number of ids; with very many it lets more pass."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        place = self.place(column)
+        rows = ids.select(place.alias("place")).select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("mask"))
+        # A word is a row of 12 bytes: FILTER_BITS / 64 of them at most.
+        table = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        held = (table["word"].to_numpy(), table["mask"].to_numpy())
+        self.shared = ids.sparkSession.sparkContext.broadcast(held)
+
+    @staticmethod
+    def place(column: str) -> Column:
+        """Which bit stands for an id."""
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
+        """For a task: whether the filter has the ids of these places."""
+        words, masks = self.shared.value
+        bits = np.zeros(FILTER_BITS >> 6, np.int64)
+        bits[words] = masks
+        return lambda places: (bits[places >> 6] >> (places & 63) & 1).astype(bool)
+
+    def has(self, column: str) -> Column:
+        """Whether the filter has the id, as a column."""
+
+        @F.pandas_udf("boolean")
+        def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            read = self.reader()
+            for places in batches:
+                yield pd.Series(read(places.to_numpy()))
+
+        return found(self.place(column))
 
 
 def fresh(taken: Iterable[str], name: str) -> str:

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrand.llm import components, decontaminate, eliasfano, jaccard, language, ogg, packing, ppm, tokencounts, tokens, urls
+from lodestrand.llm import common, components, decontaminate, eliasfano, jaccard, language, ogg, packing, ppm, tokencounts, tokens, urls
 from lodestrand.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers/"
@@ -27,18 +27,53 @@ def test_similarities(sets):
     assert all(abs(got[i, k] - len(a & b) / len(a | b)) < 1e-6 for i, a in enumerate(sets) for k, b in enumerate(sets) if i != k)
 
 
-def test_recall_shortens_the_prefix():
-    depth = jaccard.matched_depth()
-    assert jaccard.recall(depth) >= jaccard.TARGET > jaccard.recall(depth + 1)
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.95])
+def test_prefixes_shorten_until_the_recall(threshold):
+    """Whatever the nodes' sizes, the lengths reach the target; large nodes are left at longer prefixes."""
+    rnd = random.Random(6)
+    least, most = jaccard.depth_range(threshold)
+    for _ in range(30):
+        hot = rnd.sample(range(jaccard.TREES), rnd.randint(0, jaccard.TREES))
+        sizes = {(t, d): rnd.choice([2, 5000, 10**9]) for t in hot for d in range(least, most + 1)}
+        depths = jaccard.shortened(sizes, threshold)
+        assert jaccard.recall(depths, threshold) >= jaccard.TARGET - 1e-12 and all(least <= d <= most for d in depths)
+    small = {(t, d): 3 for t in (1, 7) for d in range(1, most + 1)}
+    assert jaccard.shortened(small, threshold) == jaccard.shortened({}, threshold)
+    if threshold == 0.8:
+        large = jaccard.shortened({(0, d): 10**6 for d in range(1, most + 1)}, threshold)
+        assert large[0] == most and sum(large[1:]) < sum(jaccard.shortened({}, threshold)[1:])
+
+
+def similar_pairs(rows, threshold):
+    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in rows]
+    return {(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8])
+def test_pairs_near_the_threshold(spark, threshold):
+    """Pairs little above the threshold are found, at thresholds other than the usual one too."""
+    rnd, rows = random.Random(31), []
+    # k changed words far apart take 5 k of n shingles: (n - 5 k) / (n + 5 k) similar.
+    k = round(200 * (1 - threshold) / (1 + threshold) / 5) - 1
+    for _ in range(60):
+        base = [f"q{rnd.randint(0, 99999)}" for _ in range(204)]
+        other = list(base)
+        for place in range(k):
+            other[7 + 6 * place] = f"z{rnd.randint(0, 99999)}"
+        rows += [" ".join(base), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(max(r.id_a, r.id_b), min(r.id_a, r.id_b)) for r in jaccard.JaccardJoin(df, threshold=threshold).pairs().collect()}
+    want = similar_pairs(rows, threshold)
+    assert len(want) >= 60 and got <= want and len(got) >= 0.98 * len(want)
 
 
-def near_group(n, seed=2):
+def near_group(n, seed=2, most=8):
     rnd = random.Random(seed)
     base = [f"v{rnd.randint(0, 9999)}" for _ in range(200)]
     out = []
     for _ in range(n):
         own = list(base)
-        for k in rnd.sample(range(200), rnd.randint(0, 8)):
+        for k in rnd.sample(range(200), rnd.randint(0, most)):
             own[k] = f"u{rnd.randint(0, 99999)}"
         out.append(" ".join(own))
     return out
@@ -47,11 +82,11 @@ def near_group(n, seed=2):
 def test_large_groups_in_blocks(spark, monkeypatch):
     """A group of many near copies is cut into blocks and loses no link."""
     monkeypatch.setattr(jaccard, "NODE_BLOCK", 8)
-    monkeypatch.setattr(jaccard, "TEXT_BLOCK", 8)
+    monkeypatch.setattr(jaccard, "SMALL_NODE", 8)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
     rows = list(dict.fromkeys(near_group(45)))
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in rows]
-    want = {(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    want = similar_pairs(rows, 0.8)
     join = jaccard.JaccardJoin(df)
     got = {(max(r.id_a, r.id_b), min(r.id_a, r.id_b)) for r in join.pairs().collect()}
     assert got == want and len(want) > 100
@@ -59,8 +94,42 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert {r.id: r.n_links for r in join.documents().collect()} == {k: links[k] for k in range(len(rows))}
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_components(spark, small):
+def test_large_group_keeps_its_links(spark):
+    """A group of thousands of copies and near copies, at the usual sizes of blocks."""
+    rows = list(dict.fromkeys(near_group(3000, most=3)))
+    df = spark.createDataFrame([*enumerate(rows), *((10_000 + k, rows[0]) for k in range(3000))], "doc_id long, text string")
+    sets = [jaccard.shingles(t.encode()) for t in rows]
+    similar = jaccard.similarities(sets) >= 0.8 - 1e-7
+    np.fill_diagonal(similar, False)
+    links = similar.sum(1)
+    got = {r.id: (r.class_id, r.copy_id, r.n_links) for r in jaccard.JaccardJoin(df).documents().collect()}
+    assert len(rows) > 2000 and links.mean() > 1000
+    assert sum(got[k][2] for k in range(len(rows))) >= 0.999 * links.sum() and all(got[k][2] <= links[k] for k in range(len(rows)))
+    assert {x[0] for x in got.values()} == {0} and all(got[10_000 + k] == got[0] for k in range(3000))
+
+
+def test_id_filter(spark):
+    """It has all its ids, nulls too, and nearly none of the others."""
+    ids = spark.range(0, 5000, 5).select("id").union(spark.sql("SELECT cast(null AS long)"))
+    other = spark.range(5000).union(spark.sql("SELECT cast(null AS long)"))
+    held = {r.id for r in other.where(common.IdFilter(ids, "id").has("id")).collect()}
+    assert {*range(0, 5000, 5), None} <= held and len(held) < 1010
+    assert other.where(common.IdFilter(ids.limit(0), "id").has("id")).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    left = spark.createDataFrame([(k % 7 if k % 7 < 6 else None, k) for k in range(60)], "key long, own long")
+    right = spark.createDataFrame([(k, k * k, 10 - k) for k in range(5)], "key long, other long, weight long")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, common.hot_join(left, right, "key", "weight", how).collect())) == sorted(map(key, left.join(right, "key", how).collect()))
+
+
+@pytest.mark.parametrize("held", [1, 7, 100_000])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD_EDGES", held)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
     rnd = random.Random(9)
     edges = [(f"n{rnd.randint(0, 150):03}", f"n{rnd.randint(0, 150):03}") for _ in range(110)] + [(f"hub{0:03}", f"leaf{k:03}") for k in range(60)] + [(f"p{k:03}", f"p{k + 1:03}") for k in range(70)]
     above = {x: x for e in edges for x in e}
@@ -73,9 +142,9 @@ def test_components(spark, small):
     for a, b in edges:
         above[max(top(a), top(b))] = min(top(a), top(b))
     df = spark.createDataFrame([*edges, (None, "n000"), ("n001", None)], "a string, b string")
-    got = {r.node: r.component for r in components.connected_components(df, small=small).collect()}
+    got = {r.node: r.component for r in components.connected_components(df).collect()}
     assert got == {x: top(x) for x in above}
-    assert components.connected_components(df.limit(0), small=small).count() == 0
+    assert components.connected_components(df.limit(0)).count() == 0
 
 
 # 2
