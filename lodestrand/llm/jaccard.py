@@ -53,7 +53,7 @@ MARGIN = 5.5
 #: Classes below a node that do not count for the order of shortening.
 SMALL_NODE = 64
 #: Classes, and bytes of shingle hashes, that a block of a node takes from each of its two sides.
-NODE_BLOCK = 2048
+NODE_BLOCK = 1024
 BLOCK_BYTES = 16 << 20
 MEMO = 300_000
 
