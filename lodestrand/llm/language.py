@@ -1,67 +1,70 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word, with a boundary byte at both ends, forwards and backwards, and
-labels every position with probabilities of the languages; a document's probabilities are the mean
-over the positions of all its words. A word that recurs is labelled once per worker. The weights
-are trained on the driver, in numpy, by backpropagation through time.
-
-Training reads a bounded sample: of each language the TRAIN_DOCS labelled documents with the smallest
-hash of their id, and of each of those the TRAIN_WORDS distinct words with the smallest hash, from
-anywhere in its text. That bound is the same at every size; prediction covers all of every text.
+The network reads all bytes of a text, forwards and backwards, and labels every byte with
+probabilities of the languages; a document's probabilities are the mean over its bytes. Its state is
+carried from byte to byte across words and lines. A text longer than SEGMENT is read in segments, so that
+long texts fill the same arrays as short ones: each direction first reads the WARM bytes next to a segment, which
+it does not label there, and so comes to it with the state that the whole text would have left, but for
+what the network still knows after WARM bytes. The weights are trained on the driver, in numpy, by
+backpropagation through time.
+
+Training reads a bounded sample: of each language the TRAIN_DOCS labelled rows with the smallest
+hash of their id, and of each of those TRAIN_WINDOWS windows of WINDOW bytes, at places all over its text that
+hashes choose. That bound is the same at every size, but for the number of languages; prediction covers
+all of every text.
 
 Defined results: a null text, or one without a letter, is "und" with score 0; so is every text if no
-labelled row was there to learn from; repeated rows are predicted one by one; an empty table gives
-an empty one; extra columns are not read. A word longer than PIECE bytes is read in pieces.
+labelled row was there to learn from; a null doc_id is never learned from and counts as not held out; rows that share a
+doc_id count one by one, in the sample too; repeated rows are predicted one by one; an empty table gives
+an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.llm import common
 
 TRAIN_DOCS = 150
-TRAIN_WORDS = 300
+TRAIN_WINDOWS = 24
+WINDOW = 64
 HIDDEN = 16
-STEPS = 700
-BATCH = 384
-PIECE = 30
-MEMO = 300_000
+STEPS = 500
+BATCH = 128
+SEGMENT = 1024
+WARM = 64
+#: Segments that are read side by side.
+LANES = 256
 UND = "und"
 #: A pipeline's filter drops documents whose best language has a smaller mean probability.
 MIN_SCORE = 0.3
-EDGE = 32  # a space
+#: What stands before and after a text: a space.
+EDGE = b" "
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
-_WORDLIKE = re.compile(rb"[A-Za-z\x80-\xff]").search
 
 
 def has_letter(raw: bytes | None) -> bool:
     return bool(raw) and (_ASCII_LETTER.search(raw) is not None or not raw.isascii() and any(x.isalpha() for x in common.text_of(raw)))
 
 
-def word_pieces(raw: bytes) -> list[bytes]:
-    """The words that hold a letter or a byte of a longer character, in pieces of at most PIECE bytes."""
-    found = [x for x in raw.split() if _WORDLIKE(x)]
-    if any(len(x) > PIECE for x in found):
-        found = [x[k : k + PIECE] for x in found for k in range(0, len(x), PIECE)]
-    return found
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(-1, keepdims=True))
+    return x / x.sum(-1, keepdims=True)
+
+
 @dataclass
 class Network:
     """Weights; for each direction d an input table [256, 3H], a recurrent matrix [H, 3H] and a bias [H] of the candidate."""
@@ -89,68 +92,48 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [*self.tables, *self.recurrent, *self.inner, self.out, self.bias]
 
-    def _step(self, symbols: np.ndarray, state: np.ndarray, d: int) -> tuple[np.ndarray, tuple]:
-        """The next state of direction d, and what its gradient needs."""
-        hidden = state.shape[1]
-        x, u = self.tables[d][symbols], state @ self.recurrent[d]
-        gates = _sigmoid(x[:, : 2 * hidden] + u[:, : 2 * hidden])
-        z, r = gates[:, :hidden], gates[:, hidden:]
-        candidate = u[:, 2 * hidden :] + self.inner[d]
-        n = np.tanh(x[:, 2 * hidden :] + r * candidate)
-        return n + z * (state - n), (symbols, state, z, r, candidate, n)
-
     def _run(self, steps: np.ndarray, d: int) -> tuple[np.ndarray, list]:
-        """States [T, B, H] of one direction over bytes [T, B], in its own order."""
-        state = np.zeros((steps.shape[1], self.recurrent[d].shape[0]), np.float32)
+        """States [T, B, H] of one direction over bytes [T, B], in its own order, and what their gradients need."""
+        hidden = self.recurrent[d].shape[0]
+        state = np.zeros((steps.shape[1], hidden), self.recurrent[d].dtype)
         states, saved = [], []
         for symbols in steps:
-            state, own = self._step(symbols, state, d)
+            x, u = self.tables[d][symbols], state @ self.recurrent[d]
+            gates = _sigmoid(x[:, : 2 * hidden] + u[:, : 2 * hidden])
+            z, r = gates[:, :hidden], gates[:, hidden:]
+            candidate = u[:, 2 * hidden :] + self.inner[d]
+            n = np.tanh(x[:, 2 * hidden :] + r * candidate)
+            saved.append((symbols, state, z, r, candidate, n))
+            state = n + z * (state - n)
             states.append(state)
-            saved.append(own)
         return np.stack(states), saved
 
     def _back(self, grads: np.ndarray, saved: list, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gradients of table, recurrent matrix and inner bias from those of the states, backwards in time."""
-        recurrent, hidden = self.recurrent[d], self.recurrent[d].shape[0]
-        g_table, g_rec, g_inner = np.zeros_like(self.tables[d]), np.zeros_like(recurrent), np.zeros_like(self.inner[d])
+        recurrent = self.recurrent[d]
+        g_rec, g_inner = np.zeros_like(recurrent), np.zeros_like(self.inner[d])
         g_state = np.zeros_like(grads[0])
+        inputs = []
         for t in range(len(saved) - 1, -1, -1):
-            symbols, before, z, r, candidate, n = saved[t]
+            _, before, z, r, candidate, n = saved[t]
             g = grads[t] + g_state
             g_n = g * (1 - z) * (1 - n * n)
             g_z = g * (before - n) * z * (1 - z)
             g_c = g_n * r
             g_r = g_n * candidate * r * (1 - r)
-            g_x = np.concatenate([g_z, g_r, g_n], 1)
+            inputs.append(np.concatenate([g_z, g_r, g_n], 1))
             g_u = np.concatenate([g_z, g_r, g_c], 1)
-            np.add.at(g_table, symbols, g_x)
             g_rec += before.T @ g_u
             g_inner += g_c.sum(0)
             g_state = g * z + g_u @ recurrent.T
+        # The inputs' gradients are summed by byte.
+        symbols = np.concatenate([own[0] for own in reversed(saved)])
+        order = np.argsort(symbols, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) != 0]))
+        g_table = np.zeros_like(self.tables[d])
+        g_table[symbols[order][starts]] = np.add.reduceat(np.concatenate(inputs)[order], starts)
         return g_table, g_rec, g_inner
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Probabilities summed over positions, for words in order of falling length. A step only
-        runs the words that have a byte there, which are the first ones."""
-        lengths = np.array([len(w) + 2 for w in words])
-        most, edge = int(lengths[0]), bytes([EDGE])
-        running = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(most)]
-        ahead, back = (np.empty((most, len(words), self.recurrent[0].shape[0]), np.float32) for _ in range(2))
-        rows = np.arange(len(words))
-        for d, held in enumerate((ahead, back)):
-            steps = np.frombuffer(b"".join((edge + (w[::-1] if d else w) + edge).ljust(most) for w in words), np.uint8).reshape(len(words), most).T
-            state = np.zeros((len(words), held.shape[2]), np.float32)
-            for t, n in enumerate(running):
-                state = self._step(steps[t, :n], state[:n], d)[0]
-                if d:
-                    held[lengths[:n] - 1 - t, rows[:n]] = state
-                else:
-                    held[t, :n] = state
-        hidden, sums = ahead.shape[2], np.zeros((len(words), len(self.languages)), np.float32)
-        for t, n in enumerate(running):
-            sums[:n] += _softmax(ahead[t, :n] @ self.out[:hidden] + back[t, :n] @ self.out[hidden:] + self.bias)
-        return sums
-
     def positions(self, steps: np.ndarray) -> np.ndarray:
         """Probabilities [T, B, languages] of every position of byte columns [T, B]."""
         ahead, _ = self._run(steps, 0)
@@ -174,46 +157,22 @@ class Network:
         return loss, [ta, tb, ra, rb, ia, ib, np.tensordot(both, p, ((0, 1), (0, 1))), p.sum((0, 1))]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
-
-
-def byte_columns(words: list[bytes]) -> np.ndarray:
-    """Words of one length as [T, B], with a boundary byte before and after."""
-    body = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).T
-    edge = np.full((1, len(words)), EDGE, np.uint8)
-    return np.concatenate([edge, body, edge])
-
-
-def train(rows: Iterable[tuple[str, bytes, int]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> Network | None:
-    """Fit a network to (language, word, count) rows by Adam; None without rows. A language's words
-    weigh as much as another's."""
-    total: dict[tuple[bytes, str], int] = defaultdict(int)
-    for language, word, n in rows:
-        total[word, language] += n
-    if not total:
+def train(rows: Iterable[tuple[str, bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> Network | None:
+    """Fit a network to (language, window) rows by Adam; None without rows. All languages weigh the same. A window
+    shorter than WINDOW is repeated, with spaces between."""
+    known = sorted({(language, ((raw + EDGE) * (1 + WINDOW // (len(raw) + 1)))[:WINDOW]) for language, raw in rows if raw})
+    if not known:
         return None
-    languages = sorted({x for _, x in total})
-    number = {x: k for k, x in enumerate(languages)}
-    sums = np.zeros(len(languages))
-    groups: dict[int, list[tuple[bytes, int, int]]] = defaultdict(list)
-    for (word, language), n in sorted(total.items()):
-        groups[len(word)].append((word, number[language], n))
-        sums[number[language]] += n * (len(word) + 2)
-    lengths = sorted(groups)
-    columns = [byte_columns([w for w, _, _ in groups[k]]) for k in lengths]
-    labels = [np.array([x for _, x, _ in groups[k]]) for k in lengths]
-    weights = [np.array([n for _, _, n in groups[k]]) / sums[y] for k, y in zip(lengths, labels, strict=True)]
-    mass = np.array([w.sum() * (k + 2) for k, w in zip(lengths, weights, strict=True)])
-    chances = [w / w.sum() for w in weights]
+    languages = sorted({x for x, _ in known})
+    labels = np.array([languages.index(x) for x, _ in known])
+    columns = np.frombuffer(b"".join(x for _, x in known), np.uint8).reshape(len(known), WINDOW).T
+    weights = 1 / np.bincount(labels)[labels]
     net, rng = Network.start(languages), np.random.default_rng(seed)
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
     for step in range(1, steps + 1):
-        k = rng.choice(len(lengths), p=mass / mass.sum())
-        pick = rng.choice(len(labels[k]), batch, p=chances[k])
-        _, grads = net.gradients(columns[k][:, pick], labels[k][pick])
+        pick = rng.choice(len(labels), batch, p=weights / weights.sum())
+        _, grads = net.gradients(columns[:, pick], labels[pick])
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -222,89 +181,109 @@ def train(rows: Iterable[tuple[str, bytes, int]], steps: int = STEPS, batch: int
     return net
 
 
-class Predictor:
-    """Documents' pooled probabilities; words' sums over positions are remembered."""
-
-    def __init__(self, net: Network, memo: int = MEMO):
-        self.net, self.limit = net, memo
-        self.place: dict[bytes, int] = {}
-        self.sums = np.zeros((0, len(net.languages)), np.float32)
-
-    def _labelled(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum of its positions' probabilities."""
-        out = np.empty((len(words), len(self.net.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            out[part] = self.net.word_sums([words[k] for k in part])
+class Reader:
+    """Inference: the network's weights, halved where a gate's sigmoid is a tanh of the half, over lanes of bytes."""
+
+    def __init__(self, net: Network):
+        self.net, self.hidden = net, net.recurrent[0].shape[0]
+        half = np.concatenate([np.full(2 * self.hidden, 0.5), np.ones(self.hidden)]).astype(np.float32)
+        self.gates = [np.ascontiguousarray((x * half)[:, : 2 * self.hidden]) for x in net.tables]
+        self.inputs = [np.ascontiguousarray(x[:, 2 * self.hidden :]) for x in net.tables]
+        self.recurrent = [np.ascontiguousarray(x * half) for x in net.recurrent]
+        self.out = [np.ascontiguousarray(x) for x in (net.out[: self.hidden], net.out[self.hidden :])]
+
+    def _scores(self, steps: np.ndarray, running: np.ndarray, d: int, scores: np.ndarray) -> None:
+        """Add direction d's part of the scores [T, B, languages] of bytes [T, B], of which the first running[t] lanes have a byte at t."""
+        hidden, lanes = self.hidden, steps.shape[1]
+        state = np.zeros((lanes, hidden), np.float32)
+        u, gates, x = np.empty((lanes, 3 * hidden), np.float32), np.empty((lanes, 2 * hidden), np.float32), np.empty((lanes, hidden), np.float32)
+        for t in range(len(steps)) if d == 0 else range(len(steps) - 1, -1, -1):
+            k = running[t]
+            own, part, a, b = state[:k], u[:k], gates[:k], x[:k]
+            np.matmul(own, self.recurrent[d], out=part)
+            np.take(self.gates[d], steps[t, :k], axis=0, out=a, mode="clip")
+            np.take(self.inputs[d], steps[t, :k], axis=0, out=b, mode="clip")
+            a += part[:, : 2 * hidden]
+            np.tanh(a, out=a)
+            # a is now 2 * gate - 1.
+            candidate = part[:, 2 * hidden :]
+            candidate += self.net.inner[d]
+            a += 1
+            a *= 0.5
+            candidate *= a[:, hidden:]
+            b += candidate
+            np.tanh(b, out=b)
+            own -= b
+            own *= a[:, :hidden]
+            own += b
+            scores[t, :k] += own @ self.out[d]
+
+    def labelled(self, lanes: list[bytes]) -> np.ndarray:
+        """Probabilities [T, B, languages] of lanes of falling length; zero beyond a lane's end."""
+        lengths = np.array([len(x) for x in lanes])
+        most = int(lengths[0])
+        steps = np.frombuffer(b"".join(x.ljust(most) for x in lanes), np.uint8).reshape(len(lanes), most).T.astype(np.intp)
+        running = np.searchsorted(-lengths, -np.arange(most), side="left")
+        scores = np.zeros((most, len(lanes), len(self.net.languages)), np.float32)
+        scores += self.net.bias
+        self._scores(steps, running, 0, scores)
+        self._scores(steps, running, 1, scores)
+        return _softmax(scores) * (np.arange(most)[:, None] < lengths)[:, :, None]
+
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the probabilities summed over its bytes."""
+        lanes = [(k, *x) for k, raw in enumerate(texts) for x in segments(raw)]
+        lanes.sort(key=lambda x: -len(x[1]))
+        out = np.zeros((len(texts), len(self.net.languages)))
+        for at in range(0, len(lanes), LANES):
+            part = lanes[at : at + LANES]
+            p = self.labelled([x for _, x, _, _ in part])
+            places = np.arange(len(p))[:, None]
+            inside = (places >= [a for _, _, a, _ in part]) & (places < [b for _, _, _, b in part])
+            np.add.at(out, [k for k, _, _, _ in part], np.einsum("tbl,tb->bl", p, inside.astype(np.float32)))
         return out
 
     def predict(self, texts: list[bytes | None]) -> Iterator[tuple[str, float]]:
-        cut = [word_pieces(x) if has_letter(x) else [] for x in texts]
-        place = self.place
-        missing = sorted({w for c in cut for w in c if w not in place})
-        if len(place) + len(missing) > self.limit:
-            # The memo begins anew with this batch's words; those of the batch that it knew are labelled again.
-            place.clear()
-            missing = sorted({w for c in cut for w in c})
-            self.sums = self.sums[:0]
-        if missing:
-            first = len(place)
-            place.update(zip(missing, range(first, first + len(missing)), strict=True))
-            new = self._labelled(missing)
-            if first + len(new) > len(self.sums):
-                grown = np.empty((max(2 * len(self.sums), first + len(new)), new.shape[1]), np.float32)
-                grown[:first] = self.sums[:first]
-                self.sums = grown
-            self.sums[first : first + len(new)] = new
-        for words in cut:
-            if not words:
+        known = [k for k, x in enumerate(texts) if has_letter(x)]
+        sums = dict(zip(known, self.sums([texts[k] for k in known]), strict=True)) if known else {}
+        for k in range(len(texts)):
+            if k in sums:
+                best = int(sums[k].argmax())
+                yield self.net.languages[best], min(1.0, float(sums[k][best] / sums[k].sum()))
+            else:
                 yield UND, 0.0
-                continue
-            pooled = self.sums[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            best = int(pooled.argmax())
-            yield self.net.languages[best], float(pooled[best] / pooled.sum())
-
-
-def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, held_out: int | None = 5, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS) -> DataFrame:
-    """(lang, word, n) of the bounded sample; held_out: leave out documents whose crc32(doc_id) is a
-    multiple of it."""
-    remainder = F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(held_out or 1))
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    if held_out:
-        labelled = labelled.where(remainder != 0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # Only ids and languages are ranked, and each task keeps its n_docs first before any row moves.
-    ids = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= n_docs)
-    chosen = ids.select(F.col("id").alias("chosen")).distinct()
-    rows = labelled.join(F.broadcast(chosen), F.col(doc_id) == F.col("chosen")).select(F.col(lang).alias("lang"), common.utf8(text).alias("text"))
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, 1):
-            names, words, counts = [], [], []
-            for name, raw in zip(part.column(0).to_pylist(), common.as_bytes(part.column(1)), strict=True):
-                seen: dict[bytes, int] = defaultdict(int)
-                for word in word_pieces(raw):
-                    seen[word] += 1
-                for word in sorted(seen, key=xxhash.xxh64_intdigest)[:n_words]:
-                    names.append(name)
-                    words.append(word)
-                    counts.append(seen[word])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=schema.names)
-
-    found = rows.mapInArrow(run, schema)
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int | None = 5) -> Network | None:
-    """A network from a bounded sample of docs (see training_rows)."""
-    common.prepare(docs.sparkSession)
-    rows = training_rows(docs, doc_id, text, lang, held_out).collect()
-    return train((r.lang, bytes(r.word), r.n) for r in rows)
 
 
-_predictors: dict[int, Predictor] = {}
+def segments(raw: bytes) -> list[tuple[bytes, int, int]]:
+    """A text's segments: the bytes to read, with what lies beside them, and the range of those to label."""
+    out, whole = [], EDGE + raw + EDGE
+    for at in range(0, len(raw), SEGMENT):
+        size, first = min(SEGMENT, len(raw) - at), max(0, at + 1 - max(1, WARM))
+        out.append((whole[first : at + 1 + size + max(1, WARM)], at + 1 - first, at + 1 - first + size))
+    return out
+
+
+def held_out(doc_id: Column, parts: int = 5) -> Column:
+    """Whether crc32 of the id as text is a multiple of parts; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)) == 0, F.lit(False))
+
+
+def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int | None = 5, n_docs: int = TRAIN_DOCS, n_windows: int = TRAIN_WINDOWS) -> DataFrame:
+    """(lang, window) of the bounded sample; parts: leave out documents that held_out(doc_id, parts) says."""
+    labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), common.utf8(text).alias("text")).where("id is not null and lang is not null and length(text) > 0")
+    if parts:
+        labelled = labelled.where(~held_out(F.col("id"), parts))
+    # Only a row's windows are ranked and moved, and each task keeps its n_docs first before any row moves.
+    windows = F.expr(f"transform(sequence(1, {n_windows}), k -> substring(text, cast(1 + pmod(xxhash64(id, k), greatest(1, length(text) - {WINDOW - 1})) as int), {WINDOW}))")
+    order = Window.partitionBy("lang").orderBy("h", "id", "windows")
+    ranked = labelled.select("id", "lang", F.xxhash64("id").alias("h"), windows.alias("windows")).withColumn("k", F.row_number().over(order))
+    return ranked.where(F.col("k") <= n_docs).select("lang", F.explode("windows").alias("window"))
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int | None = 5) -> Network | None:
+    """A network from a bounded sample of docs (see training_rows)."""
+    common.prepare(docs.sparkSession)
+    return train((r.lang, bytes(r.window)) for r in training_rows(docs, doc_id, text, lang, parts).collect())
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text", prefix: str = "", drop: Iterable[str] = ()) -> DataFrame:
@@ -314,12 +293,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", prefix: s
     def make() -> Callable[[list], Iterable[tuple]]:
         if shared.value is None:
             return lambda texts: ((UND, 0.0) for _ in texts)
-        # The network object is the worker's own: one predictor, with its memo, serves all its tasks.
-        known = _predictors.get(id(shared.value))
-        if known is None:
-            _predictors.clear()
-            known = _predictors[id(shared.value)] = Predictor(shared.value)
-        return known.predict
+        return Reader(shared.value).predict
 
     added = T.StructType([T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
     return common.append_columns(docs, text, make, added, drop)
@@ -337,5 +311,5 @@ def with_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     net = fit(docs)
-    rows = docs.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out"), common.utf8("text").alias("text"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), common.utf8("text").alias("text"))
     return identify(rows, net, drop=["text"])

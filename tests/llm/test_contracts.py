@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lodestrand.llm import decontaminate, eliasfano, jaccard, language, linededup, packing, ppm, queries, tokencounts
+from lodestrand.llm import common, decontaminate, eliasfano, jaccard, language, linededup, packing, ppm, queries, tokencounts
+from tests.llm.test_operators import slow_sums
 from tests.llm.conftest import corpus, left_out, same, texts, write
 
 VOCABULARY = "/opt/tokenizers/"
@@ -131,3 +132,19 @@ def test_op10_learns_and_leaves_out(spark, odd):
     odd_rows = {r.doc_id: r for r in got}
     assert all(odd_rows[i].lang_pred == "und" and odd_rows[i].score == 0 for i in (1000, 1001, 1002, 1003)) and odd_rows[1004].lang_pred != "und"
     assert len(got) == len(corpus()) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_op10_equals_slow_loop(spark, odd):
+    """The query's rows against the network run byte by byte over whole texts."""
+    net = language.fit(common.documents(spark, odd))
+    got = {(r.doc_id, round(r.score, 2)): r.lang_pred for r in language.op10_language_id(spark, odd).collect()}
+    done = 0
+    for i, t in texts():
+        if language.has_letter(t.encode()) and (len(t) < 1500 or i == 1006):
+            sums = slow_sums(net, t.encode())
+            near = {got.get((i, round(sums.max() / sums.sum() + d, 2))) for d in (-0.005, 0, 0.005)}
+            assert net.languages[int(sums.argmax())] in near
+            done += 1
+    assert done > 50
+    null = [r for r in language.op10_language_id(spark, odd).collect() if r.doc_id is None]
+    assert [r.held_out for r in null] == [False]

@@ -439,19 +439,53 @@ def test_gradients():
             assert abs((up - down) / 2 / e - g[at]) < 2e-3
 
 
-def test_word_sums_equal_positions_and_memo_restarts():
-    net = language.Network.start(["a", "b"])
-    words = sorted({b"word", b"x", b"longer-word", b"ab", b"cd"}, key=lambda w: -len(w))
-    want = np.stack([net.positions(language.byte_columns([w])).sum(0)[0] for w in words])
-    assert np.allclose(net.word_sums(words), want, atol=1e-5)
-    rows = [b"some words here", b"other words there", None, b"9 9", "é".encode(), b"\xff\xfe" * 40 + b"a"]
-    a, b = language.Predictor(net), language.Predictor(net, memo=1)
-    assert list(a.predict(rows)) == [(x, pytest.approx(y)) for x, y in (list(b.predict(rows[:3])) + list(b.predict(rows[3:])))]
+def slow_sums(net, raw):
+    """Probabilities summed over a text's bytes, byte by byte over the whole text."""
+    states = []
+    for d in range(2):
+        own, hidden = net.recurrent[d], net.recurrent[d].shape[0]
+        state, out = np.zeros(hidden), []
+        for byte in (b" " + raw + b" ")[:: 1 - 2 * d]:
+            x, u = net.tables[d][byte], state @ own
+            z, r = np.split(1 / (1 + np.exp(-(x[: 2 * hidden] + u[: 2 * hidden]))), 2)
+            n = np.tanh(x[2 * hidden :] + r * (u[2 * hidden :] + net.inner[d]))
+            state = (1 - z) * n + z * state
+            out.append(state)
+        states.append(np.stack(out[:: 1 - 2 * d]))
+    logits = np.exp(np.concatenate(states, 1) @ net.out + net.bias)
+    return (logits / logits.sum(1, keepdims=True))[1:-1].sum(0)
+
+
+def test_reader_equals_slow_loop(monkeypatch):
+    net = language.train([("a", b"words of one language and more"), ("b", "ünd Wörter der änderen".encode())], steps=40)
+    rows = [b"some words here", b"x", "é wörd".encode() * 9, b"", b"\xff\xfe 12 \n\n a" * 40, b"other words there"]
+    want = np.stack([slow_sums(net, x) if x else np.zeros(2) for x in rows])
+    assert np.allclose(language.Reader(net).sums(rows), want, atol=1e-3)
+    monkeypatch.setattr(language, "SEGMENT", 50)
+    monkeypatch.setattr(language, "LANES", 3)
+    assert np.allclose(language.Reader(net).sums(rows), want, atol=0.05)
+
+
+@given(st.binary(max_size=400), st.integers(1, 90), st.integers(0, 20))
+def test_segments_label_every_byte_once(raw, size, warm):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language, "SEGMENT", size)
+        patch.setattr(language, "WARM", warm)
+        got = language.segments(raw)
+    assert b"".join(x[a:b] for x, a, b in got) == raw and all(len(x) <= size + 2 * max(1, warm) for x, _, _ in got)
+
+
+def test_sample_is_bounded(spark):
+    """Rows that share an id, and very long texts, do not make the sample larger."""
+    rows = [(1, "many rows of one id", "xx")] * 400 + [(k, "word " * 30_000, "yy") for k in range(2, 9)] + [(None, "no id", "zz"), (9, None, "zz"), (10, "", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_rows(df, "doc_id", "text", "lang", None, 20, 6).collect()
+    assert Counter(r.lang for r in got) == {"xx": 20 * 6, "yy": 7 * 6} and all(len(r.window) <= language.WINDOW for r in got)
 
 
 def test_one_label_or_none(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language.identify(df, language.fit(df)).collect()} == {"und"}
     one = df.withColumn("lang", df.text)
-    net = language.train([("xx", b"word", 3)], steps=3)
+    net = language.train([("xx", b"word")], steps=3)
     assert [tuple(r) for r in language.identify(one, net).select("lang_pred", "score").collect()] == [("xx", 1.0)] * 2
