@@ -51,6 +51,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not any(path.endswith(f"{PACKAGE}.zip") for path in context.listFiles):
         context.addPyFile(_archive())
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+    # Spark 4.1.2 takes a union of bucketed tables for bucketed, reads them otherwise, and so groups it wrongly.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # The buckets that bucketed() writes are one file each, in order.
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     return spark
 
 
@@ -58,11 +62,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, str | None]] = []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir, which all executors share.
+def scratch(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new folder's path below spark.checkpoint.dir, which all executors share; table: one that goes with it.
 
     Where that is unset, as in local tests, the folder is a temporary one, and it becomes the
     checkpoint directory as well. Folders go when the driver's Python ends (or with release())."""
@@ -73,15 +77,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{base.rstrip('/')}/{PACKAGE}-{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(release)
-    _made.append((spark, path))
+    _made.append((spark, path, table))
     return path
 
 
 def release() -> None:
-    """Delete the scratch folders of this process."""
+    """Delete the scratch folders of this process, and their tables."""
     while _made:
-        spark, path = _made.pop()
+        spark, path, table = _made.pop()
         try:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -105,6 +111,14 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df, which must be in that many hash partitions of key, as a table of one sorted file per bucket in the shared folder."""
+    spark = df.sparkSession
+    table = f"{PACKAGE}_{uuid.uuid4().hex}"
+    df.write.option("path", scratch(spark, name, table)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 #: Keys that hot_join broadcasts; and the bits of an IdFilter, whatever the number of ids: 16 MB.
 HOT_KEYS = 1024
 FILTER_BITS = 1 << 27

@@ -2,11 +2,16 @@
 
 A key is a line without the white space at its ends and with A-Z lower-cased. LineRuns holds, for
 each key of enough code points, a 128-bit hash, how many documents hold it and the largest of their
-ids, in runs sorted by hash. A batch of documents becomes a run of level 0; as soon as a level has
-FANOUT runs, they are merged into one run of the next level, by a union and a groupBy on the hash that
-does not use the runs' order. A line goes if enough documents hold its key and a document with a
-larger id does. Both are known only when the last batch is in, so batches are not anti-joined with
-the runs as they arrive: one join at the end holds the lines of all batches against the final counts.
+ids, in runs: tables in hash buckets, sorted by hash in each bucket. Batches of documents come from the
+largest ids down. A batch is merge-joined with the runs as it comes: the keys that none of them has (the anti-join)
+are met here for the first time, so the batch's largest id with the key is that of the whole corpus; of the
+others the batch adds its count only. The batch's keys are a run of level 0; as soon as a level has
+FANOUT runs, they are compacted to one run of the next level by merging them. Buckets and order are the
+same in all runs, so neither merging nor joining moves or sorts a run.
+
+A line goes if enough documents hold its key and a document with a larger id does. How many do is known
+only when the last batch is in: then the lines are joined with the keys of the merged runs, the
+most frequent keys by broadcast, and only documents that may lose a line are shuffled to what they lose.
 
 Defined results: a null or empty text is one empty line, which is too short to drop; a null doc_id
 is smaller than any other; rows that share a doc_id are one document for the counts and each get a
@@ -20,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +34,10 @@ from lodestrand.llm import common
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Batches that the query makes of its table, and the runs of a level that are merged to one of the next.
-BATCHES = 4
-FANOUT = 4
+BATCHES = 8
+FANOUT = 2
+#: Ids, those with the smallest hashes, whose quantiles cut the batches: they set batch sizes, not results.
+BOUND_IDS = 4096
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -61,58 +68,77 @@ def _line_hashes(id_column: str, text: str, min_chars: int, kind: T.DataType) ->
 
 
 class LineRuns:
-    """The runs, each a Parquet table sorted by hash within hash partitions in the shared folder."""
+    """The runs, each a bucketed and sorted Parquet table in the shared folder."""
 
     def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.min_chars, self.min_docs, self.fanout = common.prepare(spark), min_chars, min_docs, fanout
+        self.buckets = common.shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = []
-        self.batches: list[DataFrame] = []
+
+    def runs(self) -> list[DataFrame]:
+        return [x for level in self.levels for x in level]
 
     def add(self, lines: DataFrame) -> None:
-        """Take up a batch's (id, key) rows; no document may be in two batches."""
-        run = lines.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last"))
-        self._place(run.sortWithinPartitions("key"), 0)
-        self.batches.append(lines)
+        """Take up a batch's (id, key) rows. No document may be in two batches, and no id greater than one of
+        an earlier batch; null is the smallest."""
+        own = lines.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+        seen = []
+        for k, run in enumerate(self.runs()):
+            seen.append(f"seen_{k}")
+            own = own.join(run.select("key", F.lit(True).alias(seen[-1])), "key", "left")
+        new = F.coalesce(*seen, F.lit(False)) == F.lit(False)
+        run = own.select("key", "n", F.when(new, F.col("last")).alias("last"))
+        # The first run has no other whose buckets it could take over.
+        self._place(run if seen else run.repartition(self.buckets, "key"), 0)
 
     def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(common.written(run, f"lines-{level}"))
+        self.levels[level].append(common.bucketed(run, f"lines-{level}", "key", self.buckets))
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
             self._place(self._merged(runs), level + 1)
 
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs merged two at a time; all but the last pair are written, so that each has buckets."""
+        while len(runs) > 2:
+            runs = [*runs[2:], common.bucketed(self._pair(*runs[:2]), "lines", "key", self.buckets)]
+        return self._pair(*runs) if len(runs) == 2 else runs[0]
+
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for run in runs[1:]:
-            both = both.unionByName(run)
-        return both.groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last")).sortWithinPartitions("key")
+    def _pair(run: DataFrame, other: DataFrame) -> DataFrame:
+        other = other.withColumnsRenamed({"n": "n_other", "last": "last_other"})
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("n_other", F.lit(0))
+        return run.join(other, "key", "full").select("key", n.alias("n"), F.greatest("last", "last_other").alias("last"))
 
     def repeated(self) -> DataFrame:
-        """(key, last) of the keys that enough documents hold, over all runs."""
-        runs = [x for level in self.levels for x in level]
-        whole = runs[0] if len(runs) == 1 else self._merged(runs)
-        return whole.where(F.col("n") >= self.min_docs).select("key", "last")
-
-    def dropped(self) -> DataFrame:
-        """(id, keys): for each document the hashes of the lines that it loses."""
-        lines = self.batches[0]
-        for batch in self.batches[1:]:
-            lines = lines.unionByName(batch)
-        lost = lines.join(self.repeated(), "key").where(~F.col("id").eqNullSafe(F.col("last")))
+        """(key, n, last) of the keys that enough documents hold, over all runs."""
+        return common.written(self._merged(self.runs()).where(F.col("n") >= self.min_docs), "repeated")
+
+    def dropped(self, lines: DataFrame) -> DataFrame:
+        """(id, keys): for each document of lines (id, key) the hashes of the lines that it loses."""
+        lost = common.hot_join(lines, self.repeated(), "key", "n").where(~F.col("id").eqNullSafe(F.col("last")))
         return lost.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
-def build_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineRuns:
-    """Runs over all of docs, taken up in that many batches by document."""
+def _batch_of(ids: DataFrame, batches: int) -> Column:
+    """The number of the batch of column id, from the greatest ids down."""
+    sample = ids.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(BOUND_IDS).collect()
+    known = sorted((r.id for r in sample), reverse=True)
+    bounds = sorted({known[len(known) * k // batches] for k in range(1, batches)}) if known else []
+    below = sum((F.when(F.col("id") < F.lit(x), 1).otherwise(0) for x in bounds), F.lit(0))
+    return F.when(F.col("id").isNull(), batches - 1).otherwise(below).cast("int")
+
+
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(id, keys) of the documents of docs that lose lines; docs are taken up in that many batches."""
     runs = LineRuns(docs.sparkSession, min_chars, min_docs)
     run, schema = _line_hashes(doc_id, text, min_chars, docs.schema[doc_id].dataType)
     hashes = docs.select(F.col(doc_id).alias("id"), common.utf8(text).alias("text")).mapInArrow(run, schema)
-    table = common.written(hashes.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "lines", "batch")
+    lines = common.written(hashes.withColumn("batch", _batch_of(docs.select(F.col(doc_id).alias("id")), batches)), "lines", "batch")
     for k in range(batches):
-        runs.add(table.where(F.col("batch") == k).select("id", "key"))
-    return runs
+        runs.add(lines.where(F.col("batch") == k).select("id", "key"))
+    return common.written(runs.dropped(lines.select("id", "key")), "lost")
 
 
 def without_repeats(raw: bytes | None, lost: set[bytes], min_chars: int = MIN_CHARS) -> tuple[int, int, bytes]:
@@ -124,18 +150,21 @@ def without_repeats(raw: bytes | None, lost: set[bytes], min_chars: int = MIN_CH
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def deduplicated(docs: DataFrame, runs: LineRuns, doc_id: str, text: str, make: Callable[[Callable], Callable], added: T.StructType, drop: Iterable[str]) -> DataFrame:
-    """docs joined with what each document loses; make(row function) gives the columns to add."""
+def deduplicated(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str, make: Callable[[Callable], Callable], added: T.StructType, drop: Iterable[str]) -> DataFrame:
+    """docs joined with what each document loses; make(row function) gives the columns to add. Documents
+    that lose nothing stay where they are, but for the few that a filter of fixed size takes for others."""
     names = docs.columns
     lost, pair, same = common.fresh(names, "lost"), common.fresh(names, "pair"), common.fresh(names, "same")
-    marked = docs.join(runs.dropped().withColumnsRenamed({"id": same, "keys": lost}), F.col(doc_id).eqNullSafe(F.col(same)), "left")
+    may_lose = common.IdFilter(dropped, "id").has(doc_id)
+    met = docs.where(may_lose).join(dropped.withColumnsRenamed({"id": same, "keys": lost}), F.col(doc_id).eqNullSafe(F.col(same)), "left").drop(same)
+    marked = docs.where(~may_lose).withColumn(lost, F.lit(None).cast(met.schema[lost].dataType)).unionByName(met)
     # One binary column for Python: the number of lost keys, the keys, the text.
     packed = F.concat(
         F.encode(F.lpad(F.coalesce(F.size(lost), F.lit(0)).cast("string"), 10, "0"), "utf-8"),
         F.coalesce(F.array_join(F.transform(lost, lambda x: F.hex(x)), ""), F.lit("")).cast("binary"),
         F.coalesce(common.utf8(text), F.lit("").cast("binary")),
     )
-    return common.append_columns(marked.withColumn(pair, packed).drop(same, lost), pair, make, added, [pair, *drop])
+    return common.append_columns(marked.withColumn(pair, packed).drop(lost), pair, make, added, [pair, *drop])
 
 
 def _unpacked(pair: bytes) -> tuple[set[bytes], bytes]:
@@ -158,7 +187,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return work
 
-    return deduplicated(docs, build_runs(docs), "doc_id", "text", make, DIGEST, ["text"])
+    return deduplicated(docs, dropped_lines(docs), "doc_id", "text", make, DIGEST, ["text"])
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -177,7 +206,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
         return work
 
     added = T.StructType([T.StructField(gone, T.LongType()), T.StructField(kept, T.BinaryType())])
-    out = deduplicated(docs, build_runs(docs, doc_id, text, min_chars=min_chars, min_docs=min_docs), doc_id, text, make, added, [])
+    out = deduplicated(docs, dropped_lines(docs, doc_id, text, min_chars=min_chars, min_docs=min_docs), doc_id, text, make, added, [])
     new = {text: F.when(F.col(gone) > 0, F.col(kept).cast("string")).otherwise(F.col(text))}
     if length and length in names:
         new[length] = F.when(F.col(gone) > 0, F.char_length(F.col(kept).cast("string")).cast(docs.schema[length].dataType)).otherwise(F.col(length))

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrand.llm import common, components, decontaminate, eliasfano, jaccard, language, ogg, packing, ppm, tokencounts, tokens, urls
+from lodestrand.llm import common, components, decontaminate, eliasfano, jaccard, language, linededup, ogg, packing, ppm, tokencounts, tokens, urls
 from lodestrand.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers/"
@@ -489,3 +489,49 @@ def test_one_label_or_none(spark):
     one = df.withColumn("lang", df.text)
     net = language.train([("xx", b"word")], steps=3)
     assert [tuple(r) for r in language.identify(one, net).select("lang_pred", "score").collect()] == [("xx", 1.0)] * 2
+
+
+# 9
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (5, 2), (7, 3)])
+def test_line_runs(spark, monkeypatch, batches, fanout):
+    """Lines lost, by runs of several levels, against counters; ids repeat, are null, and one line is very common."""
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    monkeypatch.setattr(linededup, "BOUND_IDS", 40)
+    monkeypatch.setattr(linededup.LineRuns.__init__, "__defaults__", (40, 5, fanout))
+    rnd = random.Random(12)
+    lines = [f"{k:03} " + "y" * 40 for k in range(30)]
+    rows = [(rnd.choice([None, *range(60)]), "\n".join([lines[0], *rnd.choices(lines, k=3)])) for _ in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    holders = defaultdict(set)
+    for i, t in rows:
+        for x in t.split("\n"):
+            holders[linededup.key_of(x.encode())].add(i)
+    order = lambda i: -1 if i is None else i
+    want = defaultdict(set)
+    for key, ids in holders.items():
+        if len(ids) >= 5:
+            for i in ids - {max(ids, key=order)}:
+                want[i].add(key)
+    assert {r.id: set(map(bytes, r["keys"])) for r in linededup.dropped_lines(df, batches=batches).collect()} == want
+
+
+def test_runs_are_merged_and_joined_in_place(spark):
+    """Neither compaction nor the join of a batch moves or sorts a run."""
+    runs = linededup.LineRuns(spark, fanout=3)
+    for a in (300, 200, 100):
+        lines = spark.range(a, a + 150).selectExpr("id", "cast(sha2(cast(id % 170 as string), 256) as binary) AS key")
+        if a < 300:
+            last = runs.runs()[-1]
+            plan = runs._pair(last, last.where("n > 1"))._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Sort " not in plan and "SortMergeJoin" in plan
+        runs.add(lines)
+    assert [len(x) for x in runs.levels] == [0, 1]
+    got = {bytes(r.key): (r.n, r["last"]) for r in runs.levels[1][0].collect()}
+    ids = [i for a in (300, 200, 100) for i in range(a, a + 150)]
+    import hashlib
+
+    for k in range(170):
+        own = [i for i in ids if i % 170 == k]
+        assert got[hashlib.sha256(str(k).encode()).hexdigest().encode()] == (len(own), max(own))
