@@ -36,13 +36,15 @@ from lodestrand.llm import common
 TRAIN_DOCS = 150
 TRAIN_WINDOWS = 24
 WINDOW = 64
-HIDDEN = 16
+HIDDEN = 12
 STEPS = 500
 BATCH = 128
 SEGMENT = 1024
 WARM = 64
 #: Segments that are read side by side.
-LANES = 256
+LANES = 512
+#: Positions whose scores are made probabilities at once.
+POSITIONS = 32
 UND = "und"
 #: A pipeline's filter drops documents whose best language has a smaller mean probability.
 MIN_SCORE = 0.3
@@ -218,17 +220,17 @@ class Reader:
             own += b
             scores[t, :k] += own @ self.out[d]
 
-    def labelled(self, lanes: list[bytes]) -> np.ndarray:
-        """Probabilities [T, B, languages] of lanes of falling length; zero beyond a lane's end."""
+    def scores(self, lanes: list[bytes]) -> np.ndarray:
+        """Scores [T, B, languages] of all bytes of lanes of falling length; what lies beyond a lane's end means nothing."""
         lengths = np.array([len(x) for x in lanes])
         most = int(lengths[0])
         steps = np.frombuffer(b"".join(x.ljust(most) for x in lanes), np.uint8).reshape(len(lanes), most).T.astype(np.intp)
         running = np.searchsorted(-lengths, -np.arange(most), side="left")
-        scores = np.zeros((most, len(lanes), len(self.net.languages)), np.float32)
-        scores += self.net.bias
+        scores = np.empty((most, len(lanes), len(self.net.languages)), np.float32)
+        scores[:] = self.net.bias
         self._scores(steps, running, 0, scores)
         self._scores(steps, running, 1, scores)
-        return _softmax(scores) * (np.arange(most)[:, None] < lengths)[:, :, None]
+        return scores
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
         """For each text the probabilities summed over its bytes."""
@@ -237,10 +239,13 @@ class Reader:
         out = np.zeros((len(texts), len(self.net.languages)))
         for at in range(0, len(lanes), LANES):
             part = lanes[at : at + LANES]
-            p = self.labelled([x for _, x, _, _ in part])
-            places = np.arange(len(p))[:, None]
-            inside = (places >= [a for _, _, a, _ in part]) & (places < [b for _, _, _, b in part])
-            np.add.at(out, [k for k, _, _, _ in part], np.einsum("tbl,tb->bl", p, inside.astype(np.float32)))
+            scores, total = self.scores([x for _, x, _, _ in part]), np.zeros((len(part), out.shape[1]))
+            for t in range(0, len(scores), POSITIONS):
+                p = _softmax(scores[t : t + POSITIONS])
+                places = np.arange(t, t + len(p))[:, None]
+                inside = (places >= [a for _, _, a, _ in part]) & (places < [b for _, _, _, b in part])
+                total += np.einsum("tbl,tb->bl", p, inside.astype(np.float32))
+            np.add.at(out, [k for k, _, _, _ in part], total)
         return out
 
     def predict(self, texts: list[bytes | None]) -> Iterator[tuple[str, float]]:
