@@ -6,9 +6,9 @@ coded (method D: each follower lends half a count to it), and the next shorter
 context is tried without the bytes that the longer ones have already excluded, down to equal chances.
 A document's score is the log10 probability of its bytes and an end symbol under the trained trie.
 
-The trie is a table of counts of (context, symbol), sharded by the last two bytes of the context: a
-shard holds all its contexts of order 2 and more, and the orders 0 and 1, at most 257 * 257 counts,
-go to every shard. Texts are copied to the shared folder in blocks of about BLOCK_BYTES. A block asks
+The trie is a table of counts of (context, symbol), sharded by the last three bytes of the context: a
+shard holds all its contexts of order 3 and more, and the orders 0 to 2, at most 65536 * 257 counts,
+go to every task. Texts are copied to the shared folder in blocks of about BLOCK_BYTES. A block asks
 for its distinct (context, symbol) pairs and words only, and gets code lengths and counts back, so no
 task holds the trie or the word counts of the corpus, and both grow with it.
 
@@ -24,7 +24,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -44,6 +43,8 @@ RUN_BYTES = 4 << 20
 #: Contexts whose probabilities are computed at once, and bytes of packed texts that are read at once.
 CONTEXTS = 1024
 PACKED_BYTES = 1 << 20
+#: Codes that a task gathers from its shards before it scores them; a larger shard is scored whole.
+SHARD_CODES = 200_000
 SMOOTHING = 0.1
 #: How far apart a partition's later blocks are placed.
 TURN = 7919
@@ -128,25 +129,61 @@ def chances(levels: list[np.ndarray]) -> np.ndarray:
     return out + ~excluded * (escape / np.maximum(rest, 1))
 
 
-def shard_scores(codes: np.ndarray, counts: np.ndarray, order1: np.ndarray, order0: np.ndarray) -> np.ndarray:
-    """log10 probabilities of a shard's codes, which share the last two bytes of their contexts."""
-    symbol = (codes & np.uint64(511)).astype(np.int64)
-    context = codes >> np.uint64(9)
-    last = int(context[0] & np.uint64(255))
-    shorter = []
-    for order in range(ORDER - 1, 1, -1):
-        names, row = np.unique(context & np.uint64((1 << 8 * order) - 1), return_inverse=True)
-        shorter.append((np.bincount(row * SYMBOLS + symbol, counts, len(names) * SYMBOLS).reshape(-1, SYMBOLS), row))
-    names, first, row = np.unique(context, return_index=True, return_inverse=True)
-    rank = np.argsort(row, kind="stable")
-    bounds = np.append(np.searchsorted(row[rank], np.arange(len(names))), len(row))
+class Followers:
+    """Counts of (context, symbol) codes, in order: a sparse matrix of contexts and symbols."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.codes, self.counts = counted(codes, counts)
+
+    def rows(self, names: np.ndarray) -> np.ndarray:
+        """[n, SYMBOLS] counts of n different contexts."""
+        first = np.searchsorted(self.codes, names << np.uint64(9))
+        sizes = np.searchsorted(self.codes, (names + np.uint64(1)) << np.uint64(9)) - first
+        place = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out = np.zeros((len(names), SYMBOLS))
+        out[np.repeat(np.arange(len(names)), sizes), (self.codes[place] & np.uint64(511)).astype(np.int64)] = self.counts[place]
+        return out
+
+
+class ShortContexts:
+    """Counts of the orders 2, 1 and 0, which all shards share."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.pairs = Followers(codes, counts)
+        order1 = np.zeros((256, SYMBOLS))
+        np.add.at(order1, ((codes >> np.uint64(9) & np.uint64(255)).astype(np.int64), (codes & np.uint64(511)).astype(np.int64)), counts)
+        self.order1, self.order0 = order1, order1.sum(0)
+
+
+def _suffix(context: np.ndarray, order: int) -> np.ndarray:
+    return context & np.uint64((1 << 8 * order) - 1)
+
+
+def shard_scores(codes: np.ndarray, counts: np.ndarray, short: ShortContexts) -> np.ndarray:
+    """log10 probabilities of whole shards' codes: all codes whose contexts end in the same three bytes are here or none."""
+    context, symbol = codes >> np.uint64(9), codes & np.uint64(511)
+    own = Followers(codes, counts)
+    longer = {order: Followers(_suffix(context, order) << np.uint64(9) | symbol, counts) for order in range(ORDER - 1, 2, -1)}
+    names, row = np.unique(context, return_inverse=True)
+    # In the order of their last bytes, contexts that share shorter ones are neighbours.
+    turned = sum((names >> np.uint64(8 * k) & np.uint64(255)) << np.uint64(8 * (ORDER - 1 - k)) for k in range(ORDER))
+    order = np.argsort(turned)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    rank = np.argsort(place[row], kind="stable")
+    bounds = np.append(np.searchsorted(place[row][rank], np.arange(len(names))), len(row))
     out = np.empty(len(codes))
+
+    def level(source: Followers, of: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(of, return_inverse=True)
+        return source.rows(distinct)[at]
+
     for a in range(0, len(names), CONTEXTS):
         b = min(a + CONTEXTS, len(names))
-        own = rank[bounds[a] : bounds[b]]
-        longest = np.bincount((row[own] - a) * SYMBOLS + symbol[own], counts[own], (b - a) * SYMBOLS).reshape(-1, SYMBOLS)
-        p = chances([longest, *(matrix[place[first[a:b]]] for matrix, place in shorter), order1[last], order0])
-        out[own] = np.log10(p[row[own] - a, symbol[own]])
+        part, mine = names[order[a:b]], rank[bounds[a] : bounds[b]]
+        levels = [level(own, part), *(level(longer[k], _suffix(part, k)) for k in sorted(longer, reverse=True)), level(short.pairs, _suffix(part, 2))]
+        p = chances([*levels, short.order1[(part & np.uint64(255)).astype(np.int64)], short.order0])
+        out[mine] = np.log10(p[place[row[mine]] - a, symbol[mine].astype(np.int64)])
     return out
 
 
@@ -277,23 +314,41 @@ def _batches(block: int, words: list[bytes], counts: list[int], size: int = 100_
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array(counts[k : k + size], pa.int64())], names=WORDS.names)
 
 
+SCORES = T.StructType([T.StructField("code", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
 def trie_scores(codes: DataFrame) -> DataFrame:
     """(code, score): the log10 probability of each distinct code, by shards of the trie."""
-    counts = codes.groupBy("code").agg(F.sum("n").alias("n"))
-    last = F.shiftright("code", 9).bitwiseAND(F.lit(255))
-    # At most 256 * 257 rows, whatever the corpus.
-    table = codes.where("n > 0").groupBy(last.alias("last"), F.col("code").bitwiseAND(F.lit(511)).alias("symbol")).agg(F.sum("n").alias("n")).toPandas()
-    order1 = np.zeros((256, SYMBOLS))
-    order1[table["last"], table["symbol"]] = table["n"]
-    shared = codes.sparkSession.sparkContext.broadcast(order1)
-
-    def score(shard: pd.DataFrame) -> pd.DataFrame:
-        order1 = shared.value
-        own = shard["code"].to_numpy().astype(np.uint64)
-        return pd.DataFrame({"code": shard["code"], "score": shard_scores(own, shard["n"].to_numpy().astype(float), order1, order1.sum(0))})
-
-    pair = F.shiftright("code", 9).bitwiseAND(F.lit(65535))
-    return counts.withColumn("pair", pair).groupBy("pair").applyInPandas(score, "code long, score double")
+    # At most 65536 * 257 rows, whatever the corpus, and far fewer where it is text.
+    table = codes.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit((1 << 25) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    shared = codes.sparkSession.sparkContext.broadcast((table["code"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(float)))
+    counts = codes.groupBy("code").agg(F.sum("n").alias("n")).withColumn("shard", F.shiftright("code", 9).bitwiseAND(F.lit((1 << 24) - 1)))
+    dealt = counts.select("shard", "code", "n").repartition(common.shuffle_partitions(codes.sparkSession), "shard").sortWithinPartitions("shard")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = ShortContexts(*shared.value)
+
+        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            own = rows["code"].to_numpy()
+            found = shard_scores(own.astype(np.uint64), rows["n"].to_numpy().astype(float), short) if len(own) else np.zeros(0)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(found)], names=SCORES.names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            # Whole shards are scored together, as soon as there are SHARD_CODES codes.
+            if sum(x.num_rows for x in held) >= SHARD_CODES and len(shards):
+                cut = int(np.searchsorted(shards, held[-1].column(0)[-1].as_py(), side="right"))
+                if cut < len(shards):
+                    yield done([*held, batch.slice(0, cut)])
+                    held, batch = [], batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield done(held)
+
+    return dealt.mapInArrow(score, SCORES)
 
 
 SCORED = T.StructType(
