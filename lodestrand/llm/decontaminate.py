@@ -20,7 +20,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,19 +173,21 @@ def _joined(docs: DataFrame, prefix: str, k: int) -> DataFrame:
     return both.drop(*(f"{prefix}{f.name}_{k}" for f in HITS))
 
 
-
-
-def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from those of find_overlaps()."""
-    covered = F.aggregate(
-        "spans",
+def covered(spans: str) -> Column:
+    """How many words ordered ranges cover; those of several passes may overlap."""
+    return F.aggregate(
+        spans,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
         lambda acc, x: F.struct(
             (acc["n"] + F.greatest(F.lit(0), x[1] - F.greatest(x[0], acc["end"]))).cast("long").alias("n"), F.greatest(acc["end"], x[1]).alias("end")
         ),
         lambda acc: acc["n"],
     )
-    return found.withColumn("n_hit", covered).select(
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """The contract's columns from those of find_overlaps()."""
+    return found.withColumn("n_hit", covered("spans")).select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -207,8 +209,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", share:
     while any(x.lower().startswith(prefix) for x in docs.columns):
         prefix = f"_{prefix}"
     found = find_overlaps(docs, items, text, prefix=prefix)
-    hit = F.aggregate(f"{prefix}spans", F.lit(0), lambda acc, x: acc + x[1] - x[0])
-    return found.where(hit <= share * F.col(f"{prefix}n_words")).select(docs.columns)
+    return found.where(covered(f"{prefix}spans") <= share * F.col(f"{prefix}n_words")).select(docs.columns)
 
 
 #: DuckDB: windows of item words joined with windows of as many document words, by equality.
