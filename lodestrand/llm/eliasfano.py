@@ -10,7 +10,7 @@ Files are numbered in ascending doc_id order, so a document's global start is th
 the files before its own and its boundary there.
 
 Defined results: null and empty texts are the end id alone; a null doc_id sorts first; repeated rows
-and ties on doc_id are written one by one, ordered by their texts; an empty table gives no file and
+and ties on doc_id are written one by one, ordered by a hash of their texts and then by these; an empty table gives no file and
 no row; extra columns are not read.
 """
 
@@ -151,8 +151,8 @@ WRITTEN = T.StructType([T.StructField("file", T.StringType()), T.StructField("n_
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int, lowered: bool, doc_id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """Write docs to files in folder, in ascending doc_id order; a row (file, n_docs, n_ids) for each.
 
-    A file is written under another name and then moved, and its name follows from the partition:
-    a task that runs again, or twice at once, leaves the same files."""
+    Each attempt of a task writes files of its own, named in the order of their documents. Those of the
+    rows that are returned count; what a lost or second attempt has left is not read back."""
     spark = common.prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.utf8(text).alias("text"))
     # Rows that share a doc_id may be many: the text's hash keeps them from one task.
@@ -170,11 +170,9 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int, lowered:
         def flush() -> pa.RecordBatch:
             nonlocal names, held, size, number
             lengths = [len(x) // width for x in held]
-            file = f"ids-{part:07d}-{number:05d}.ef"
-            draft = f"{base}/_{uuid.uuid4().hex}"
-            with store.open_output_stream(draft) as out:
+            file = f"ids-{part:07d}-{number:05d}-{uuid.uuid4().hex}.ef"
+            with store.open_output_stream(f"{base}/{file}") as out:
                 out.write(file_bytes(names, lengths, b"".join(held), width))
-            store.move(draft, f"{base}/{file}")
             done = pa.RecordBatch.from_arrays([pa.array([file]), pa.array([len(names)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=WRITTEN.names)
             names, held, size, number = [], [], 0, number + 1
             return done

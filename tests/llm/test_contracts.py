@@ -148,3 +148,40 @@ def test_op10_equals_slow_loop(spark, odd):
     assert done > 50
     null = [r for r in language.op10_language_id(spark, odd).collect() if r.doc_id is None]
     assert [r.held_out for r in null] == [False]
+
+
+def test_op2_scores_equal_a_dictionary(spark, odd):
+    """The query's score of short and odd texts against counts in a dictionary and a loop over symbols."""
+    lower = lambda t: t.encode().translate(ppm._LOWER)
+    follow: dict[bytes, Counter] = defaultdict(Counter)
+    steps = lambda t: [(bytes(ppm.ORDER) + t)[k : k + ppm.ORDER] for k in range(len(t) + 1)]
+    for i, t in texts():
+        if not left_out(i, 10):
+            raw = lower(t)
+            for context, symbol in zip(steps(raw), [*raw, ppm.END], strict=True):
+                for n in range(ppm.ORDER + 1):
+                    follow[context[n:]][symbol] += 1
+
+    def chance(context, symbol):
+        p, out = 1.0, set()
+        for n in range(ppm.ORDER + 1):
+            own = {s: c for s, c in follow[context[n:]].items() if s not in out}
+            if own:
+                total = 2 * sum(own.values())
+                if symbol in own:
+                    return p * (2 * own[symbol] - 1) / total
+                p *= len(own) / total
+                out |= set(own)
+        return p / (ppm.SYMBOLS - len(out))
+
+    got = defaultdict(set)
+    for r in ppm.op2_lm_scoring(spark, odd).collect():
+        got[r.doc_id].add(round(r.score, 4))
+    done = 0
+    for i, t in texts():
+        raw = lower(t)
+        if len(raw) < 700:
+            want = sum(math.log10(chance(c, s)) for c, s in zip(steps(raw), [*raw, ppm.END], strict=True))
+            assert min(abs(want - x) for x in got[i]) < 1e-3
+            done += 1
+    assert done > 25

@@ -178,13 +178,13 @@ def test_contexts_and_scores(monkeypatch, run):
     codes, counts = ppm.counted(np.concatenate([c for c, _, _ in ppm.contexts(train)]))
     need = np.concatenate([c for c, _, _ in ppm.contexts(test)])
     every, sums = ppm.counted(np.concatenate([codes, need]), np.concatenate([counts, np.zeros(len(need), counts.dtype)]))
-    order1 = np.zeros((256, ppm.SYMBOLS))
-    for c, n in zip(every, sums, strict=True):
-        order1[int(c) >> 9 & 255, int(c) & 511] += n
+    short = ppm.ShortContexts(*ppm.counted(every & np.uint64((1 << 25) - 1), sums.astype(float)))
+    monkeypatch.setattr(ppm, "CONTEXTS", 3)
     score: dict[int, float] = {}
-    for pair in {int(c) >> 9 & 65535 for c in every}:
-        own = np.array([int(c) >> 9 & 65535 == pair for c in every])
-        score |= dict(zip(every[own].tolist(), ppm.shard_scores(every[own], sums[own].astype(float), order1, order1.sum(0)), strict=True))
+    shards = sorted({int(c) >> 9 & 0xFFFFFF for c in every})
+    for some in (shards[::2], shards[1::2]):
+        own = np.array([int(c) >> 9 & 0xFFFFFF in some for c in every])
+        score |= dict(zip(every[own].tolist(), ppm.shard_scores(every[own], sums[own].astype(float), short), strict=True))
     table = ppm.Lookup(np.array(list(score), np.uint64), np.array(list(score.values())))
     got = [0.0] * len(test)
     for codes, starts, owners in ppm.contexts(test):
@@ -535,3 +535,24 @@ def test_runs_are_merged_and_joined_in_place(spark):
     for k in range(170):
         own = [i for i in ids if i % 170 == k]
         assert got[hashlib.sha256(str(k).encode()).hexdigest().encode()] == (len(own), max(own))
+
+
+@pytest.mark.parametrize("size", [8 << 20, 300])
+def test_share_of_covered_words(spark, monkeypatch, size):
+    """Ranges of several passes that overlap count once."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    rnd = random.Random(3)
+    text = [f"w{rnd.randint(0, 9999)}" for _ in range(50)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:20])), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(text[k : k + 10])) for k in range(18)], "item_id long, text string")
+    kept = {s: sorted(r.doc_id for r in decontaminate.decontaminated(docs, items, share=s).collect()) for s in (0.0, 0.5, 0.6, 1.0)}
+    assert kept == {0.0: [3], 0.5: [3], 0.6: [1, 3], 1.0: [1, 2, 3]}
+
+
+def test_files_of_other_attempts_are_not_read(spark, odd):
+    docs = documents(spark, odd, "doc_id", "text")
+    folder = eliasfano._folder(spark, "twice")
+    path = TOKENIZERS + eliasfano.TOKENIZER
+    eliasfano.write_ids(docs, folder, path, 1, lowered=True).collect()
+    made = eliasfano.write_ids(docs, folder, path, 1, lowered=True).collect()
+    assert eliasfano.read_ids(spark, folder, sorted((r.file, r.n_ids) for r in made)).count() == docs.count()
