@@ -278,11 +278,16 @@ def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), common.utf8(text).alias("text")).where("id is not null and lang is not null and length(text) > 0")
     if parts:
         labelled = labelled.where(~held_out(F.col("id"), parts))
-    # Only a row's windows are ranked and moved, and each task keeps its n_docs first before any row moves.
+
+    def first(rows: DataFrame, *order: str) -> DataFrame:
+        best = Window.partitionBy("lang").orderBy(*order)
+        return rows.withColumn("k", F.row_number().over(best)).where(F.col("k") <= n_docs)
+
+    # Ids alone are ranked over all rows, and each task keeps its n_docs first before any row moves; then the few rows of these ids.
+    ids = first(labelled.select("lang", "id", F.xxhash64("id").alias("h")), "h", "id").select("id").distinct()
     windows = F.expr(f"transform(sequence(1, {n_windows}), k -> substring(text, cast(1 + pmod(xxhash64(id, k), greatest(1, length(text) - {WINDOW - 1})) as int), {WINDOW}))")
-    order = Window.partitionBy("lang").orderBy("h", "id", "windows")
-    ranked = labelled.select("id", "lang", F.xxhash64("id").alias("h"), windows.alias("windows")).withColumn("k", F.row_number().over(order))
-    return ranked.where(F.col("k") <= n_docs).select("lang", F.explode("windows").alias("window"))
+    cut = labelled.join(F.broadcast(ids), "id").select("lang", "id", F.xxhash64("id").alias("h"), windows.alias("windows"))
+    return first(cut, "h", "id", "windows").select("lang", F.explode("windows").alias("window"))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int | None = 5) -> Network | None:
