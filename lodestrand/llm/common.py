@@ -11,8 +11,6 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
@@ -143,35 +141,23 @@ class IdFilter:
     are joined to be exact. It takes the same space for any number of ids; with very many it lets more pass."""
 
     def __init__(self, ids: DataFrame, column: str):
-        place = self.place(column)
-        rows = ids.select(place.alias("place")).select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("mask"))
-        # A word is a row of 12 bytes: FILTER_BITS / 64 of them at most.
-        table = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        held = (table["word"].to_numpy(), table["mask"].to_numpy())
-        self.shared = ids.sparkSession.sparkContext.broadcast(held)
+        rows = ids.select(self.place(column).alias("place")).select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("mask"))
+        # A row for each word that is not zero: FILTER_BITS / 64 at most.
+        self.masks = written(rows.groupBy("word").agg(F.bit_or("mask").alias("mask")), "filter")
 
     @staticmethod
     def place(column: str) -> Column:
         """Which bit stands for an id."""
         return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
-    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
-        """For a task: whether the filter has the ids of these places."""
-        words, masks = self.shared.value
-        bits = np.zeros(FILTER_BITS >> 6, np.int64)
-        bits[words] = masks
-        return lambda places: (bits[places >> 6] >> (places & 63) & 1).astype(bool)
-
-    def has(self, column: str) -> Column:
-        """Whether the filter has the id, as a column."""
-
-        @F.pandas_udf("boolean")
-        def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            read = self.reader()
-            for places in batches:
-                yield pd.Series(read(places.to_numpy()))
-
-        return found(self.place(column))
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of df whose id the filter has, and the others: by a broadcast of the masks, without moving a row."""
+        names = df.columns
+        place, word, mask = fresh(names, "place"), fresh(names, "word"), fresh(names, "mask")
+        masks = F.broadcast(self.masks.withColumnsRenamed({"word": word, "mask": mask}))
+        met = df.withColumn(place, self.place(column)).join(masks, F.shiftright(place, 6).cast("int") == F.col(word), "left")
+        has = F.coalesce(F.getbit(F.col(mask), F.col(place).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+        return met.where(has).select(names), met.where(~has).select(names)
 
 
 def fresh(taken: Iterable[str], name: str) -> str:

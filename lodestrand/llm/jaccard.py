@@ -462,16 +462,9 @@ class JaccardJoin:
     def _verified(self, pairs: bool) -> DataFrame:
         """LINKS or PAIRS, from the shingle sets of the classes that need them."""
         names = common.written(self.needed.select("set").distinct().join(self.classes.select("set", "id"), "set"), "wanted")
-        wanted = common.IdFilter(names, "id")
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            has = wanted.reader()
-            for batch in batches:
-                yield from _sets([batch.filter(pa.array(has(batch.column(1).to_numpy())))])
-
-        texts = self.docs.select("text", wanted.place("id").alias("place"))
-        # Rows that share an id, or a place, may have other texts: the set itself decides, and each is taken once.
-        sets = texts.mapInArrow(whole, SETS).join(names.select("set"), "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
+        texts = common.IdFilter(names, "id").split(self.docs, "id")[0].select("text")
+        # Rows that share an id, or a place in the filter, may have other texts: the set itself decides, and each is taken once.
+        sets = texts.mapInArrow(_sets, SETS).join(names.select("set"), "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
         kind, schema = _verify(self.threshold, pairs), PAIRS if pairs else LINKS
         return _blocks(self.needed.join(sets, "set")).mapInArrow(kind, schema)
 
@@ -509,9 +502,8 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", threshold: floa
     numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = JaccardJoin(numbered, row, text, threshold).documents()
     gone = common.written(found.where("id <> class_id").select(F.col("id").alias("gone")), "gone")
-    may_go = common.IdFilter(gone, "gone").has(row)
-    rest = numbered.where(may_go).join(gone, F.col(row) == F.col("gone"), "left_anti")
-    return numbered.where(~may_go).unionByName(rest).select(docs.columns)
+    may_go, stay = common.IdFilter(gone, "gone").split(numbered, row)
+    return stay.unionByName(may_go.join(gone, F.col(row) == F.col("gone"), "left_anti")).select(docs.columns)
 
 
 #: DuckDB: classes of equal shingle sets, exact similarities over shared shingles, and their closure.

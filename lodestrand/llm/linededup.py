@@ -155,10 +155,10 @@ def deduplicated(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str, ma
     that lose nothing stay where they are, but for the few that a filter of fixed size takes for others."""
     names = docs.columns
     lost, pair, same = common.fresh(names, "lost"), common.fresh(names, "pair"), common.fresh(names, "same")
-    may_lose = common.IdFilter(dropped, "id").has(doc_id)
+    may_lose, stay = common.IdFilter(dropped, "id").split(docs, doc_id)
     # The hint keeps small inputs on the plan that large ones take.
-    met = docs.where(may_lose).join(dropped.withColumnsRenamed({"id": same, "keys": lost}).hint("merge"), F.col(doc_id).eqNullSafe(F.col(same)), "left").drop(same)
-    marked = docs.where(~may_lose).withColumn(lost, F.lit(None).cast(met.schema[lost].dataType)).unionByName(met)
+    met = may_lose.join(dropped.withColumnsRenamed({"id": same, "keys": lost}).hint("merge"), F.col(doc_id).eqNullSafe(F.col(same)), "left").drop(same)
+    marked = stay.withColumn(lost, F.lit(None).cast(met.schema[lost].dataType)).unionByName(met)
     # One binary column for Python: the number of lost keys, the keys, the text.
     packed = F.concat(
         F.encode(F.lpad(F.coalesce(F.size(lost), F.lit(0)).cast("string"), 10, "0"), "utf-8"),

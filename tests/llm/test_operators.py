@@ -112,9 +112,9 @@ def test_id_filter(spark):
     """It has all its ids, nulls too, and nearly none of the others."""
     ids = spark.range(0, 5000, 5).select("id").union(spark.sql("SELECT cast(null AS long)"))
     other = spark.range(5000).union(spark.sql("SELECT cast(null AS long)"))
-    held = {r.id for r in other.where(common.IdFilter(ids, "id").has("id")).collect()}
-    assert {*range(0, 5000, 5), None} <= held and len(held) < 1010
-    assert other.where(common.IdFilter(ids.limit(0), "id").has("id")).count() == 0
+    held, rest = ({r.id for r in x.collect()} for x in common.IdFilter(ids, "id").split(other, "id"))
+    assert {*range(0, 5000, 5), None} <= held and len(held) < 1010 and held | rest == {None, *range(5000)} and not held & rest
+    assert common.IdFilter(ids.limit(0), "id").split(other, "id")[0].count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
