@@ -160,6 +160,22 @@ class IdFilter:
         return met.where(has).select(names), met.where(~has).select(names)
 
 
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Say how a module forgets what it remembers in a worker beyond a task."""
+    _memos[owner] = forget
+
+
+def turn_to(owner: str) -> None:
+    """Workers serve one stage after another: one that turns to a module's work forgets what the others remember."""
+    for name, forget in _memos.items():
+        if name != owner:
+            forget()
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """name, or a variant of it that no column has; column names ignore case."""
     known = {x.lower() for x in taken}
@@ -214,6 +230,7 @@ def append_columns(
     labels = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(make.__module__)
         work = make()
         for part in slices(batches, place):
             rows = list(work(as_bytes(part.column(place))))

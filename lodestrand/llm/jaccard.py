@@ -112,6 +112,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+common.remembers(__name__, _hashes.clear)
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -308,6 +309,7 @@ SETS = T.StructType([T.StructField("set", T.BinaryType()), T.StructField("hashes
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.turn_to(__name__)
     for part in common.slices(batches, 0):
         own = [shingles(x).tobytes() for x in common.as_bytes(part.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], names=SETS.names)

@@ -91,6 +91,9 @@ def _counter(vocabulary: str, proven: frozenset[str]) -> Counter:
     return Counter(common.local_file(vocabulary), proven)
 
 
+common.remembers(__name__, _counter.cache_clear)
+
+
 COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 

@@ -84,6 +84,14 @@ class Chunked:
 
 
 @lru_cache(maxsize=4)
-def chunked(path: str, lowered: bool, dtype: str) -> Chunked:
-    """The worker's encoder; it and its memo serve all tasks of the worker."""
+def _chunked(path: str, lowered: bool, dtype: str) -> Chunked:
     return Chunked(common.local_file(path), lowered, dtype)
+
+
+common.remembers(__name__, _chunked.cache_clear)
+
+
+def chunked(path: str, lowered: bool, dtype: str) -> Chunked:
+    """The worker's encoder; it and its memo serve all tasks of the worker, until it turns to other work."""
+    common.turn_to(__name__)
+    return _chunked(path, lowered, dtype)
