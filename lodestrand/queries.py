@@ -5,7 +5,10 @@ Documents stand for files: their path is source/doc_id and an ending that follow
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from lodestrand.functions import ids
 from lodestrand.functions import text as X
 from lodestrand.functions import vectors as V
 from lodestrand.operators import chunking, fusion, lexical, manifests, syntax, vector_search
+from lodestrand.operators.lexical_index import LexicalIndex
 from lodestrand.plans.hybrid import hybrid_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,6 +319,18 @@ def collection_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lexical search
 
+_indexes: dict[tuple[str, str], LexicalIndex] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The stored index of the documents: written by the first query of a session that searches, and read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="lexical-")).as_uri()
+        _indexes[key] = LexicalIndex.write(table(spark, sf_dir, "documents"), f"{base.rstrip('/')}/lexical-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 TOKENS = r"tok AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: strlen(x) < 40), lambda x: lower(x)) AS t FROM documents)"
 
 
@@ -335,7 +351,7 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT count(*) AS n_docs, avg(len(t)) AS avg_length FROM tok")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.corpus_stats(lexical.lengths(table(spark, sf_dir, "documents")))
+    return lexical.corpus_stats(index_of(spark, sf_dir).lengths)
 
 
 @query(
@@ -366,7 +382,7 @@ def _bm25_sql(text: str, k: int) -> str:
 
 @query(f"WITH {TOKENS}, {BM25} {_bm25_sql(QUERY, K)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_topk(table(spark, sf_dir, "documents"), QUERY, K)
+    return index_of(spark, sf_dir).topk(QUERY, K)
 
 
 @query(
@@ -377,7 +393,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.bm25_batch(table(spark, sf_dir, "documents"), items, K)
+    return index_of(spark, sf_dir).batch(items, K)
 
 
 @query(
@@ -385,7 +401,7 @@ def bm25_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT a.doc_id, CAST(count(*) AS INTEGER) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id"
 )
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.phrase_matches(table(spark, sf_dir, "documents"), PHRASE)
+    return index_of(spark, sf_dir).phrase(PHRASE)
 
 
 @query(
@@ -399,7 +415,7 @@ SELECT doc_id, round(d1 * (t1 * 22e-1 / (t1 + 12e-1 * (25e-2 + 75e-2 * dl / a)))
 FROM c, d, st WHERE t1 > 0 AND t4 = 0 ORDER BY score DESC, doc_id LIMIT {K}"""
 )
 def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), BOOLEAN, K)
+    return index_of(spark, sf_dir).search(BOOLEAN, K)
 
 
 # Vector search
@@ -470,14 +486,14 @@ FUSED = "SELECT doc_id, round(sum(1e0 / (60 + rank)), 9) AS score, CAST(count(*)
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = [
         fusion.ranked(vector_search.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), LEG).withColumnRenamed("vec_id", "doc_id"), "doc_id"),
-        fusion.ranked(lexical.bm25_topk(table(spark, sf_dir, "documents"), QUERY, LEG), "doc_id"),
+        fusion.ranked(index_of(spark, sf_dir).topk(QUERY, LEG), "doc_id"),
     ]
     return fusion.fuse(legs, 2 * LEG)
 
 
 @query(f"WITH {LEGS.replace('@where@', '')}, fused AS ({FUSED} ORDER BY score DESC, doc_id LIMIT {K}) SELECT fused.doc_id, score, n_legs, source, lang FROM fused JOIN documents USING (doc_id)")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG)
+    return hybrid_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG, index=index_of(spark, sf_dir))
 
 
 _MD = f"WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % {len(ENDINGS)} = 1)"
@@ -487,7 +503,7 @@ _MD = f"WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % {len(ENDING
 def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits are filtered by extension after each leg's best, and ranked again."""
     docs = table(spark, sf_dir, "documents").withColumn("relative_path", _path())
-    return hybrid_documents(docs, table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG, ["md"])
+    return hybrid_documents(docs, table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG, ["md"], index=index_of(spark, sf_dir))
 
 
 # Collections

@@ -3,6 +3,8 @@
 import pytest
 
 from lodestrand.operators import lexical
+from lodestrand.operators.lexical_index import LexicalIndex
+from tests.conftest import DATA
 
 DOCS = [("a", "fn target_keyword() {}", "x.rs"), ("b", "the quick brown fox", "y.md"), ("c", "a fox, a quick fox", "z.md"), ("d", "", "w.md"), ("e", None, "v.md")]
 
@@ -16,6 +18,11 @@ def found(df):
     return [r.doc_id for r in df.collect()]
 
 
+@pytest.fixture(scope="module")
+def index(docs, tmp_path_factory):
+    return LexicalIndex.write(docs, str(tmp_path_factory.mktemp("index") / "i"), carry=["relative_path"])
+
+
 @pytest.mark.parametrize(
     ("query", "want"),
     [
@@ -34,9 +41,39 @@ def found(df):
         ("-quick", []),
     ],
 )
-def test_grammar(docs, query, want):
-    got = found(lexical.search(docs, query, 10))
-    assert (set(got) == want) if isinstance(want, set) else got == want
+def test_grammar(docs, index, query, want):
+    got = lexical.search(docs, query, 10).collect()
+    assert ({r.doc_id for r in got} == want) if isinstance(want, set) else [r.doc_id for r in got] == want
+    assert index.search(query, 10).collect() == got
+
+
+@pytest.mark.parametrize("query", ["start_line:[a TO b] fox", "fox start_line:[a TO b]"])
+def test_bounds_that_are_no_numbers(spark, query):
+    df = spark.createDataFrame([(1, "a fox", 3)], "doc_id long, text string, start_line int")
+    assert lexical.search(df, query, 3).count() == 1
+
+
+def test_index_equals_texts(spark, tmp_path):
+    """Scores from stored postings against those from the texts, and the rows that a search reads."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    own = LexicalIndex.write(docs, str(tmp_path / "i"), carry=["lang"])
+    for text in ("that thon inere", "that that the", "", "nothere"):
+        assert own.topk(text, 20).collect() == lexical.bm25_topk(docs, text, 20).collect()
+    for text in ('+the (thon OR tion) -der "in the"', '"of the"^2 the', "language:en that", "-the that"):
+        assert own.search(text, 20).collect() == lexical.search(docs, text, 20).collect()
+    assert sorted(own.phrase("of the").collect()) == sorted(lexical.phrase_matches(docs, "of the").collect())
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").limit(9)
+    both = [x.orderBy("query_id", "rank").select("query_id", "doc_id", "score", "rank").collect() for x in (own.batch(items, 4, "item_id", "text"), lexical.bm25_batch(docs, items, 4, query_id="item_id", query="text"))]
+    assert both[0] == both[1] and len(both[0]) > 9
+    plan = own.topk("that thon", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(term" in plan and "documents.parquet" not in plan
+
+
+def test_postings(spark):
+    df = spark.createDataFrame([(1, "a b a", "x"), (2, "", "y"), (3, None, "z"), (4, "b", None)], "doc_id long, text string, tag string").coalesce(1)
+    got = sorted((r.doc_id, r.tag, r.length, r.term, r.tf, r.positions) for r in lexical.postings(df, carry=["tag"]).collect())
+    assert got == [(1, "x", 3, "a", 2, [0, 2]), (1, "x", 3, "b", 1, [1]), (4, None, 1, "b", 1, [0])]
+    assert [r.term for r in lexical.postings(df, only=["b", "q"]).orderBy("doc_id").collect()] == ["b", "b"]
 
 
 def test_strict_and_lenient(docs):
