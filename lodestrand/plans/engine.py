@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from lodestrand.config import Settings
 from lodestrand.functions import ids
-from lodestrand.operators import chunking, fusion, lexical, manifests, vector_search
+from lodestrand.operators import chunking, fusion, lexical_index, manifests, vector_search
+from lodestrand.operators.lexical_index import LexicalIndex
 from lodestrand.sources import files as F_
 from lodestrand.sources import store as S
 from lodestrand.sources.embedding import Embedder, HttpEmbedder, embed_chunks
 
 IDLE, INDEXING, COMPLETED, FAILED = "idle", "indexing", "completed", "failed"
 DEFAULT_LIMIT = 10
+#: Columns of a chunk that a lexical query may ask for, beside its text.
+FIELDS = ["relative_path", "language", "start_line", "end_line"]
 HIT = ["file_path", "relative_path", "content", "start_line", "end_line", "language", "score"]
 
 
@@ -53,8 +56,8 @@ class Engine:
     Without an embedder (and without a service in the settings) search is lexical only. An embedder
     that fails makes a search fail."""
 
-    def __init__(self, spark: SparkSession, workspace: str, settings: Settings | None = None, embedder: Embedder | None = None, home: str | None = None):
-        self.spark, self.settings, self.home = spark, settings or Settings(), home
+    def __init__(self, spark: SparkSession, workspace: str, settings: Settings | None = None, embedder: Embedder | None = None, home: str | None = None, lock_seconds: float = S.LOCK_SECONDS):
+        self.spark, self.settings, self.home, self.lock_seconds = spark, settings or Settings(), home, lock_seconds
         self.store = S.Store(spark, workspace)
         self.embedder = embedder or (HttpEmbedder.of(self.settings, spark.sparkContext.defaultParallelism) if self.settings.embedding_url else None)
 
@@ -101,17 +104,18 @@ class Engine:
         began = time.time()
         root = str(F_.checked_root(path))
         collection = self._collection(root)
-        lock = f"{collection.name}.lock"
-        if not self.store.create_alone(lock, {"path": root}):
+        lock = S.Lock(self.store, f"{collection.name}.lock", self.lock_seconds)
+        if not lock.take({"path": root}):
             raise Busy(f"{root} is being indexed")
         try:
+            collection.refresh()
             self._save_status(collection, IndexStatus(status=INDEXING))
             result, status = self._run(root, collection, force)
         except BaseException:
             self._save_status(collection, IndexStatus(status=FAILED))
             raise
         finally:
-            self.store.delete(lock)
+            lock.give_back()
         self._save_status(collection, status)
         result.duration_ms = int((time.time() - began) * 1000)
         return result
@@ -133,13 +137,15 @@ class Engine:
             warnings = [r.relative_path for r in F_.unreadable(work).orderBy("relative_path").collect()]
             chunks = chunking.split(F_.texts(work), self.settings.split).persist()
             n_chunks = chunks.count()
-            tables = {"manifest": current, "chunks": self._next(collection, "chunks", chunks, changes)}
+            # Only new rows are written; those of changed and deleted files become void by their paths.
+            tables = {"manifest": current if changes is None else manifests.changed(current, changes), "chunks": chunks}
+            tables |= {"lengths": lexical_index.lengths_of(chunks, "chunk_id", "content", FIELDS), "postings": lexical_index.postings_of(chunks, "chunk_id", "content", FIELDS)}
             n_vectors = 0
             if self.embedder is not None:
-                vectors = embed_chunks(chunks, self.embedder)
-                tables["vectors"] = self._next(collection, "vectors", vectors, changes)
+                tables["vectors"] = embed_chunks(chunks, self.embedder)
                 n_vectors = n_chunks
-            collection.replace(tables, {"path": root, "inputs": self.inputs(), "counts": {"files": len(paths), "chunks": n_chunks}})
+            facts = {"path": root, "inputs": self.inputs(), "counts": {"files": len(paths), "chunks": n_chunks}}
+            collection.append(tables, None if changes is None else manifests.stale(changes), facts, {"postings": lexical_index.write_postings})
             total = collection.table("chunks").count()
             collection.header["counts"]["chunks"] = total
             self.store.save(f"{collection.name}/current.json", collection.header)
@@ -151,11 +157,6 @@ class Engine:
         result = IndexResult(len(paths), n_chunks, n_vectors, n_vectors, self.embedder is None, 0, "indexed", warnings)
         return result, IndexStatus(len(paths), len(paths), n_chunks, n_vectors, n_vectors, COMPLETED)
 
-    def _next(self, collection: S.Collection, name: str, rows: DataFrame, changes: DataFrame | None) -> DataFrame:
-        """The table's next version: what stays of the last one, and the new rows."""
-        last = collection.table(name) if changes is not None else None
-        return rows if last is None else S.insert_rows(S.delete_paths(last, manifests.stale(changes)), rows)
-
     # Search
 
     def search(self, path: str, query: str, limit: int = DEFAULT_LIMIT, extensions: Iterable[str] = (), prefilter: bool = False, strict: bool = False, dedupe: bool = True) -> DataFrame:
@@ -176,7 +177,7 @@ class Engine:
             legs.append(self._semantic(vectors, asked, limit, wanted if prefilter else []) if vectors is not None else empty)
         else:
             legs.append(empty)
-        legs.append(self._lexical(chunks, query, limit, wanted if prefilter else [], strict) if chunks is not None else empty)
+        legs.append(self._lexical(collection, chunks, query, limit, wanted if prefilter else [], strict) if chunks is not None else empty)
         hits = fusion.fuse_chunks(legs[0], legs[1], limit, wanted, dedupe)
         path_column = F.when(F.col("file_path") == "", F.concat(F.lit(root.rstrip("/") + "/"), F.col("relative_path"))).otherwise(F.col("file_path"))
         return hits.withColumn("file_path", path_column).select(HIT)
@@ -188,9 +189,11 @@ class Engine:
         return rows.join(F.broadcast(best.withColumnRenamed("vec_id", "chunk_id")), "chunk_id").select(*chunking.COLUMNS, "score")
 
     @staticmethod
-    def _lexical(chunks: DataFrame, query: str, limit: int, wanted: list[str], strict: bool) -> DataFrame:
+    def _lexical(collection: S.Collection, chunks: DataFrame, query: str, limit: int, wanted: list[str], strict: bool) -> DataFrame:
+        """The postings of the query's terms are read, and then the hits' chunks."""
+        index = LexicalIndex(fusion.filtered(collection.table("postings"), wanted), fusion.filtered(collection.table("lengths"), wanted))
+        best = index.search(query, limit, strict)
         rows = fusion.filtered(chunks, wanted)
-        best = lexical.search(rows, query, limit, "chunk_id", "content", strict)
         # The lexical leg knows no file_path; fusion or the search fills it in.
         return rows.join(F.broadcast(best.withColumnRenamed("doc_id", "chunk_id")), "chunk_id").withColumn("file_path", F.lit("")).select(*chunking.COLUMNS, "score")
 

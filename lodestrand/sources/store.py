@@ -1,14 +1,18 @@
-"""Workspaces: the tables of a collection, as Parquet in numbered versions.
-
-{workspace}/{collection}/ holds current.json, which names the version that readers use and the
-index's header; a version is a folder of tables. A new version is written whole beside the old one,
-and then current.json is replaced in one step, so a reader or a crash never meets half an index.
-Files go through Hadoop's file system, so a workspace may lie in any store that Spark knows.
+"""Workspaces: the tables of a collection, as Parquet in segments.
+
+{workspace}/{collection}/ holds current.json, which names the segments that readers use and the index's
+header. A run writes one segment: folders of its new rows, and the paths whose rows in earlier segments
+are void. Nothing that is there is written again, until there are more than MOST_SEGMENTS: then they
+are merged to one. A segment is written whole, and then current.json is replaced in one step, so a reader or a
+crash never meets half an index. Segments that no longer count stay for KEEP_SECONDS, for the searches that
+were planned before. Files go through Hadoop's file system, so a workspace may lie in any store that Spark knows.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,7 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TABLES = ("manifest", "chunks", "vectors")
+MOST_SEGMENTS = 8
+KEEP_SECONDS = 3600.0
+#: A lock that its owner has not renewed for this long is void; owners renew it four times as often.
+LOCK_SECONDS = 600.0
 
 
 class Store:
@@ -67,6 +74,15 @@ class Store:
         array[0] = options.OVERWRITE
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri() if own.toUri().getScheme() else fs.getUri(), self._conf).rename(draft, own, array)
 
+    def age(self, path: str) -> float | None:
+        """Seconds since a file was written or touched; None if it is not there."""
+        fs, own = self._at(path)
+        return max(0.0, time.time() - fs.getFileStatus(own).getModificationTime() / 1000) if fs.exists(own) else None
+
+    def touch(self, path: str) -> None:
+        fs, own = self._at(path)
+        fs.setTimes(own, int(time.time() * 1000), -1)
+
     def create_alone(self, path: str, value: dict) -> bool:
         """Make a file that must not be there yet."""
         fs, own = self._at(path)
@@ -81,9 +97,40 @@ class Store:
         return True
 
 
+class Lock:
+    """A file that only one run can make, renewed while the run lives; one that nobody renews may be broken."""
+
+    def __init__(self, store: Store, path: str, seconds: float = LOCK_SECONDS):
+        self.store, self.path, self.seconds, self.owner = store, path, seconds, uuid.uuid4().hex
+        self._ended = threading.Event()
+
+    def take(self, facts: dict) -> bool:
+        """Whether the lock is ours now."""
+        age = self.store.age(self.path)
+        if age is not None and age > self.seconds:
+            self.store.delete(self.path)
+        if not self.store.create_alone(self.path, {"owner": self.owner, **facts}):
+            return False
+        threading.Thread(target=self._renew, daemon=True).start()
+        return True
+
+    def _renew(self) -> None:
+        while not self._ended.wait(self.seconds / 4):
+            try:
+                self.store.touch(self.path)
+            except Exception:  # noqa: BLE001  the lock is gone or the session has ended: there is nothing to renew
+                return
+
+    def give_back(self) -> None:
+        """Delete the lock, if it is still ours."""
+        self._ended.set()
+        if (held := self.store.load(self.path)) is not None and held.get("owner") == self.owner:
+            self.store.delete(self.path)
+
+
 @dataclass
 class Collection:
-    """One collection of a workspace."""
+    """One collection of a workspace. Its tables have the column relative_path, by which rows are deleted."""
 
     store: Store
     name: str
@@ -99,23 +146,76 @@ class Collection:
     def exists(self) -> bool:
         return self.header is not None
 
+    def _path(self, segment: str, name: str) -> str:
+        return f"{self.store.base}/{self.name}/{segment}/{name}"
+
     def table(self, name: str) -> DataFrame | None:
-        """A table of the current version; None if it has none."""
+        """A table's rows that no later segment has deleted; None if there is no such table."""
         if not self.header or name not in self.header["tables"]:
             return None
+        read, segments = self.store.spark.read, self.header["segments"]
         schema = T.StructType.fromJson(self.header["tables"][name])
-        return self.store.spark.read.schema(schema).parquet(f"{self.store.base}/{self.name}/{self.header['version']}/{name}")
-
-    def replace(self, tables: dict[str, DataFrame], facts: dict) -> None:
-        """Write a new version and make it the current one; the one before goes afterwards."""
-        version, before = uuid.uuid4().hex, self.header
-        for name, df in tables.items():
-            df.write.parquet(f"{self.store.base}/{self.name}/{version}/{name}")
-        header = {"version": version, "tables": {name: df.schema.jsonValue() for name, df in tables.items()}, **facts}
+        rows = gone = None
+        for k, segment in enumerate(segments):
+            if name in segment["tables"]:
+                own = read.schema(schema).parquet(self._path(segment["id"], name)).withColumn("_segment", F.lit(k))
+                rows = own if rows is None else rows.unionAll(own)
+            if segment["deletes"] and k:
+                own = read.schema("relative_path string").parquet(self._path(segment["id"], "deleted")).withColumn("_before", F.lit(k))
+                gone = own if gone is None else gone.unionAll(own)
+        if rows is not None and gone is not None:
+            last = gone.groupBy(F.col("relative_path").alias("_path")).agg(F.max("_before").alias("_before"))
+            rows = rows.join(last, (F.col("relative_path") == F.col("_path")) & (F.col("_segment") < F.col("_before")), "left_anti")
+        return None if rows is None else rows.drop("_segment")
+
+    def append(self, tables: dict[str, DataFrame], deletes: DataFrame | None, facts: dict, writers: dict[str, Callable[[DataFrame, str], None]] | None = None) -> None:
+        """Add a segment of new rows; deletes: paths whose rows in the segments so far are void. None: all of those are.
+
+        writers: tables that are laid out in a way of their own."""
+        before = self.header["segments"] if self.header else []
+        segment = {"id": uuid.uuid4().hex, "tables": sorted(tables), "deletes": deletes is not None and bool(before)}
+        self._write(segment["id"], {**tables, **({"deleted": deletes.select("relative_path")} if segment["deletes"] else {})}, writers)
+        schemas = {name: df.schema.jsonValue() for name, df in tables.items()}
+        kept = [*before, segment] if segment["deletes"] else [segment]
+        self._publish(kept, [x["id"] for x in before] if len(kept) == 1 else [], {"tables": {**(self.header["tables"] if len(kept) > 1 else {}), **schemas}, **facts})
+        if len(kept) > MOST_SEGMENTS:
+            self.compact(writers)
+        self.vacuum()
+
+    def compact(self, writers: dict[str, Callable[[DataFrame, str], None]] | None = None) -> None:
+        """Merge all segments to one, without the deleted rows."""
+        old = self.header["segments"]
+        segment = {"id": uuid.uuid4().hex, "tables": sorted(self.header["tables"]), "deletes": False}
+        self._write(segment["id"], {name: self.table(name) for name in segment["tables"]}, writers)
+        self._publish([segment], [x["id"] for x in old], {k: v for k, v in self.header.items() if k not in ("segments", "retired")})
+
+    def _write(self, segment: str, tables: dict[str, DataFrame], writers: dict[str, Callable[[DataFrame, str], None]] | None) -> None:
+        try:
+            for name, df in tables.items():
+                put = (writers or {}).get(name)
+                if put:
+                    put(df, self._path(segment, name))
+                else:
+                    df.write.parquet(self._path(segment, name))
+        except BaseException:
+            self.store.delete(f"{self.name}/{segment}")
+            raise
+
+    def _publish(self, segments: list[dict], retired: list[str], facts: dict) -> None:
+        held = (self.header or {}).get("retired", []) + [{"id": x, "at": time.time()} for x in retired]
+        header = {**facts, "segments": segments, "retired": held}
         self.store.save(f"{self.name}/current.json", header)
         self.header = header
-        if before:
-            self.store.delete(f"{self.name}/{before['version']}")
+
+    def vacuum(self, seconds: float | None = None) -> None:
+        """Delete segments that stopped to count that long ago."""
+        limit = time.time() - (KEEP_SECONDS if seconds is None else seconds)
+        old = [x for x in self.header["retired"] if x["at"] <= limit]
+        if old:
+            for x in old:
+                self.store.delete(f"{self.name}/{x['id']}")
+            self.header = {**self.header, "retired": [x for x in self.header["retired"] if x not in old]}
+            self.store.save(f"{self.name}/current.json", self.header)
 
     def drop(self) -> bool:
         found = self.store.exists(self.name)
@@ -124,15 +224,6 @@ class Collection:
         return found
 
 
-def insert_rows(table: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """Append; rows that are there already stay as they are."""
-    return rows if table is None else table.unionByName(rows)
-
-
-def delete_paths(table: DataFrame, paths: DataFrame) -> DataFrame:
-    return table.join(paths.select("relative_path"), "relative_path", "left_anti").select(table.columns)
-
-
 def row_counts(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
     """(name, row_count) of all collections in one job; a collection without rows has 0."""
     names = spark.createDataFrame([(n,) for n in sorted(tables)], "name string")

@@ -1,8 +1,8 @@
 """Indexing as rows arrive: file versions from a stream are merged into a chunks table.
 
-A micro-batch keeps each path's last version, replaces the path's rows, and leaves paths alone whose
-bytes did not change. The tables are versioned with the batch's number: a batch that runs again after
-a failure, from Structured Streaming's checkpoint, writes the same rows.
+A micro-batch keeps each path's last version, adds a segment with the path's new rows that makes the old ones void, and
+leaves paths alone whose bytes did not change. The header has the batch's number: a batch that runs again after
+a failure, from Structured Streaming's checkpoint, is taken up once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestrand.config import PIPELINE, SplitConfig
 from lodestrand.operators import chunking, manifests
-from lodestrand.sources.store import Collection, Store, delete_paths, insert_rows
+from lodestrand.sources.store import Collection, Store
 
 
 class StreamIndex:
@@ -31,20 +31,14 @@ class StreamIndex:
         last = batch.groupBy("relative_path").agg(F.max_by(F.struct("content"), "version").alias("row"))
         files = last.select("relative_path", F.col("row.content").alias("content")).persist()
         try:
-            before, chunks = self.collection.table("manifest"), self.collection.table("chunks")
+            before = self.collection.table("manifest")
             prints = manifests.fingerprints(files.where("content is not null"))
-            seen = files.select("relative_path")
-            if before is None:
-                stay, changed = None, prints
-            else:
-                old = before.join(seen, "relative_path", "left_semi")
-                moved = manifests.diff(old, prints).persist()
-                stay = delete_paths(before, manifests.stale(moved))
-                changed = prints.join(moved.where("change <> 'deleted'").select("relative_path"), "relative_path", "left_semi")
-                chunks = delete_paths(chunks, manifests.stale(moved))
+            gone, changed = None, prints
+            if before is not None:
+                moved = manifests.diff(before.join(files.select("relative_path"), "relative_path", "left_semi"), prints).persist()
+                gone, changed = manifests.stale(moved), manifests.changed(prints, moved)
             new = files.join(changed.select("relative_path"), "relative_path", "left_semi")
-            tables = {"manifest": insert_rows(stay, changed), "chunks": insert_rows(chunks, chunking.split(new, self.split))}
-            self.collection.replace(tables, {"batch": number})
+            self.collection.append({"manifest": changed, "chunks": chunking.split(new, self.split)}, gone, {"batch": number})
         finally:
             files.unpersist()
 

@@ -1,6 +1,8 @@
 """Walking, indexing, searching and administration on small trees."""
 
 import json
+import os
+import time
 
 import pytest
 
@@ -8,6 +10,7 @@ from lodestrand.config import Settings
 from lodestrand.operators import manifests
 from lodestrand.plans.engine import Busy, Engine
 from lodestrand.sources import files as files_of
+from lodestrand.sources import store as S
 from lodestrand.sources.embedding import HashedEmbedder, HttpEmbedder, Throttle, embed_chunks
 from lodestrand.streaming.incremental import StreamIndex
 
@@ -96,7 +99,10 @@ def test_lexical_only_busy_and_failure(spark, tmp_path):
     engine.store.create_alone(f"{engine.name_of(str(root))}.lock", {})
     with pytest.raises(Busy):
         engine.index(str(root))
-    engine.store.delete(f"{engine.name_of(str(root))}.lock")
+    # A lock that nobody renews is void: here, after no time at all.
+    time.sleep(0.05)
+    Engine(spark, str(tmp_path / "w"), home=str(tmp_path), lock_seconds=0.01).index(str(root))
+    assert not engine.store.exists(f"{engine.name_of(str(root))}.lock")
 
     class Broken:
         name, dimension = "broken", 4
@@ -182,3 +188,62 @@ def test_stream(spark, tmp_path):
 
     assert send(("a.yml", "x: 1", 1), ("a.yml", "x: 2", 2), ("b.md", "# t", 1)) == {("a.yml", "x: 2"), ("b.md", "# t")}
     assert send(("a.yml", "x: 2", 3), ("b.md", None, 2), ("c.yml", "y: 1", 1)) == {("a.yml", "x: 2"), ("c.yml", "y: 1")}
+
+
+def test_locks_are_renewed_and_owned(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path))
+    lock, other = S.Lock(store, "x.lock", 0.4), S.Lock(store, "x.lock", 0.4)
+    assert lock.take({}) and not other.take({})
+    time.sleep(1.2)
+    assert not other.take({})
+    other.give_back()
+    assert store.exists("x.lock")
+    lock.give_back()
+    assert not store.exists("x.lock") and other.take({})
+    other.give_back()
+
+
+def test_runs_write_new_rows_only(spark, tmp_path, monkeypatch):
+    """Segments: what a run adds, what readers of an earlier state see, compaction, and vacuum."""
+    monkeypatch.setattr(S, "MOST_SEGMENTS", 3)
+    root, space = tmp_path / "r", tmp_path / "w"
+    tree(root, **{f"f{k}.yml": f"word{k} common" for k in range(6)})
+    engine = Engine(spark, str(space), home=str(tmp_path))
+    engine.index(str(root))
+    early = engine.search(str(root), "common", 20)
+    name = engine.name_of(str(root))
+    state = lambda: S.Collection(engine.store, name)
+    for run in range(4):
+        tree(root, **{"f0.yml": f"common changed{run}", f"new{run}.yml": f"fresh{run} common"})
+        if run == 2:
+            (root / "f5.yml").unlink()
+        before = {x["id"] for x in state().header["segments"]}
+        assert engine.index(str(root)).chunks == 2
+        after = state().header
+        if run < 2:
+            added = [x["id"] for x in after["segments"] if x["id"] not in before]
+            assert len(added) == 1 and before < {x["id"] for x in after["segments"]}
+            assert {r.relative_path for r in spark.read.parquet(f"{space}/{name}/{added[0]}/chunks").collect()} == {"f0.yml", f"new{run}.yml"}
+        want = {f"f{k}.yml" for k in range(6 if run < 2 else 5)} | {f"new{k}.yml" for k in range(run + 1)}
+        for table in ("manifest", "chunks", "lengths"):
+            assert sorted(r.relative_path for r in state().table(table).collect()) == sorted(want)
+        assert {r.relative_path for r in engine.search(str(root), "common", 20).collect()} == want
+        assert [r.relative_path for r in engine.search(str(root), f"changed{run}", 20).collect()] == ["f0.yml"]
+        assert engine.search(str(root), "word0", 20).count() == 0
+    assert len(state().header["segments"]) <= 3 and state().header["retired"]
+    # Planned before the first change: its segment is there yet.
+    assert {r.relative_path for r in early.collect()} == {f"f{k}.yml" for k in range(6)}
+    now = state()
+    now.vacuum(0)
+    assert sorted(x for x in os.listdir(space / name) if not x.startswith((".", "current"))) == sorted(x["id"] for x in now.header["segments"])
+    assert engine.collection_stats(name) == 9
+
+
+def test_search_by_fields(spark, tmp_path):
+    root = tmp_path / "r"
+    tree(root, **{"a.yml": "one fox", "b.md": "# t\nfox fox\n", "c.json": "none"})
+    engine = Engine(spark, str(tmp_path / "w"), home=str(tmp_path))
+    engine.index(str(root))
+    found = lambda q, **k: [r.relative_path for r in engine.search(str(root), q, 9, **k).collect()]
+    assert found("fox") == ["b.md", "a.yml"] and found("fox AND language:yaml") == ["a.yml"] and set(found("relative_path:[a TO c]")) == {"a.yml", "b.md"}
+    assert found("fox", extensions=["yml"], prefilter=True) == ["a.yml"]
