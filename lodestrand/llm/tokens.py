@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from lodestrand.llm import common
 
 #: Chunks that a worker remembers at most; later ones are encoded anew with each batch.
-MEMO = 500_000
+MEMO = 1_000_000
 
 #: Characters that NFC leaves alone whatever stands beside them, and white space as all libraries see it.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*\\Z")
