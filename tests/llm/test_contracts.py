@@ -1,14 +1,16 @@
 """Every query over awkward rows, an empty table, and tables with clashing columns."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lodestrand.llm import common, decontaminate, eliasfano, jaccard, language, linededup, packing, ppm, queries, tokencounts
+from lodestrand.llm import common, decontaminate, eliasfano, jaccard, language, linededup, ogg, packing, ppm, queries, tokencounts, urls
 from tests.llm.test_operators import slow_sums
 from tests.llm.conftest import corpus, left_out, same, texts, write
 
@@ -185,3 +187,32 @@ def test_op2_scores_equal_a_dictionary(spark, odd):
             assert min(abs(want - x) for x in got[i]) < 1e-3
             done += 1
     assert done > 25
+
+
+def test_op8_columns_of_every_row(spark, odd):
+    """What is read back against the texts' own bytes, by hashlib and zlib."""
+    docs = common.documents(spark, odd).select("doc_id", "text")
+    media = {bytes(r.media) for r in ogg.encode_column(docs, "text").collect()}
+    sizes = {hashlib.sha256(x).hexdigest(): len(x) for x in media}
+    want = Counter()
+    for i, t in texts():
+        payload = t.encode() + bytes(64 - len(t.encode()) % 64 if len(t.encode()) % 64 or not t else 0)
+        want[i, len(t.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
+    rows = ogg.op8_ogg_media(spark, odd).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
+    assert all(sizes[r.media_sha256] == r.media_bytes for r in rows)
+
+
+def test_op7_with_edges(spark, tmp_path):
+    """Chains, hubs, odd and very long pages: the query against its SQL."""
+    pages = [(k, f"http://a{k}.net/p", f'<link rel="canonical" href="http://a{k + 1}.net/p">') for k in range(40)]
+    pages += [(100 + k, f"http://leaf{k}.net/", '<meta http-equiv="refresh" content="0; url=http://hub.com/de/">') for k in range(60)]
+    pages += [(200, "http://a40.net/p", '<link rel="canonical" href="http://x.example.org/es/">'), (201, "http://hub.com/de/", None), (None, None, None), (203, "http://long.net/" + "q" * 50_000, "x" * 300_000 + '<link rel=canonical href="http://hub.com/de/">')]
+    folder = write(tmp_path, [], [], pages=pages)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    got = urls.op7_url_filter(spark, folder)
+    want = con.sql(urls.ORACLE).select("page_id, host, path, rule, verdict").fetchall()
+    rows = got.select("page_id", "host", "path", "rule", "verdict").collect()
+    assert Counter(map(tuple, rows)) == Counter(want)
+    assert all(r.verdict == "block" for r in rows if r.page_id is not None)
