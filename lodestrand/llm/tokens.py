@@ -1,7 +1,8 @@
 """Tokenising whole texts with a public tokenizers file, through a memo of the chunks between spaces.
 
 Texts are cut where the tokenizer's own rules always cut, the library encodes each distinct chunk
-once per worker, and a text's ids are its chunks' ids put together. Texts that may hold anything
+once per worker, and a text's ids are its chunks' ids put together. Chunks of words and signs are
+cut further, so that a worker remembers a word once, whatever stands behind it. Texts that may hold anything
 for which that is not proven (special strings, white space beside white space, characters that
 normalisation may join) go through the library whole. So the ids are always the library's.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +20,16 @@ from tokenizers import Tokenizer
 from lodestrand.llm import common
 
 #: Chunks that a worker remembers at most; later ones are encoded anew with each batch.
-MEMO = 1_000_000
+MEMO = 750_000
+
+#: Signs that stand behind words, and words whose letters all libraries know for letters: pre-tokens of both kinds of vocabulary
+#: begin at such a word, at the signs after it and at a line's end.
+_SIGNS = string.punctuation
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+\\Z").match
 
 #: Characters that NFC leaves alone whatever stands beside them, and white space as all libraries see it.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*\\Z")
 
-
 # A Spark task has one core.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -39,7 +45,7 @@ class Chunked:
         #: Lower-case vocabularies cut at any white space; others only at a space alone between two other characters.
         self.lowered, self.dtype, self.limit = lowered, dtype, memo
         self.unsafe = re.compile(r"\s\s")
-        #: Ids of chunks with the space before them, and of texts' first chunks, which have none.
+        #: Ids of words and uncut chunks with the space before them, and of what has none: texts' first chunks, signs, lines' first words.
         self.memo: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
@@ -58,7 +64,7 @@ class Chunked:
         return None if self.unsafe.search(text) else text.split(" ")
 
     def _known(self, chunks: set[str], memo: dict[str, bytes], space: str) -> dict[str, bytes]:
-        """The chunks' ids, from the memo or the library."""
+        """The ids of words, signs and uncut chunks, from the memo or the library."""
         known = {x: memo[x] for x in chunks if x in memo}
         missing = [x for x in chunks if x not in known]
         new = dict(zip(missing, self._encode([space + x for x in missing]), strict=True)) if missing else {}
@@ -67,6 +73,28 @@ class Chunked:
         known.update(new)
         return known
 
+    def _parts(self, chunks: set[str], space: str) -> dict[str, bytes]:
+        """The ids of chunks with the space before them; those of words and signs are put together from their parts' ids."""
+        words, bare, cut = set(), set(), []
+        for x in chunks:
+            # What is remembered is a word or is not cut.
+            if x in self.memo or x.isalpha():
+                words.add(x)
+                continue
+            line, end, rest = x.partition("\n")
+            word, other = line.rstrip(_SIGNS), rest.rstrip(_SIGNS)
+            if not _WORD(word) or end and not _WORD(other):
+                words.add(x)
+                continue
+            parts = (line[len(word) :], end, other, rest[len(other) :]) if end else (line[len(word) :],)
+            words.add(word)
+            bare.update(parts)
+            cut.append((x, word, parts))
+        known, heads = self._known(words, self.memo, space), self._known(bare, self.heads, "")
+        for x, word, parts in cut:
+            known[x] = known[word] + (heads[parts[0]] if len(parts) == 1 else b"".join(map(heads.__getitem__, parts)))
+        return known
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(x) for x in texts]
         whole = [k for k, x in enumerate(cut) if x is None]
@@ -76,7 +104,7 @@ class Chunked:
         for c in cut:
             found.update(c or ())
         # The batch's own distinct chunks are looked up once in the memo, and then in a smaller table.
-        get = self._known(found, self.memo, "" if self.lowered else " ").__getitem__
+        get = self._parts(found, "" if self.lowered else " ").__getitem__
         out = [heads[head] + b"".join(map(get, c or ())) for head, c in zip(first, cut, strict=True)]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else (), strict=True):
             out[k] = ids

@@ -295,6 +295,17 @@ def test_chunked_ids_are_the_library_ids(name, memo):
     assert coder.encode(rows[:700]) + coder.encode(rows[700:]) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("memo", [0, 20, 100_000])
+def test_words_signs_and_lines_are_cut_as_the_library_cuts(name, memo):
+    rnd = random.Random(5)
+    parts = ["word", "Été", "don't", "x's", "'s", "'", "...", "$$$", "_", "a_b", "3", "½", "ǅ", "日", "ª", "\n", "\n", " ", " ", " ", ",", "\u1c89", "́", "×"]
+    rows = ["".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(3000)] + ["end.\nNext, ", "end.\n", "\nA.", "a.\nb.\nc."]
+    coder = tokens.Chunked(TOKENIZERS + name, name.startswith("word"), "<u2", memo)
+    want = [np.array(x.ids, "<u2").tobytes() for x in coder.library.encode_batch(rows, add_special_tokens=False)]
+    assert coder.encode(rows[:1500]) + coder.encode(rows[1500:]) == want
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_special_strings_of_any_case(name):
     rows = ["a <|ENDOFTEXT|> b", "x<|EndOfText|>y", "<|startOfText|>", "a <|endoftext|> B <|ENDOFTEXT|>", "plain A"]
