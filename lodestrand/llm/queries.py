@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import decontaminate, eliasfano, jaccard, language, linededup, ogg, packing, ppm, tokencounts, urls
+from lodestrand.llm import decontaminate, dominance, eliasfano, fim, jaccard, language, linededup, ogg, packing, ppm, tokencounts, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_ogg_media": ogg.op8_ogg_media,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_language_id": language.op10_language_id,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op13_dominance_counting": dominance.op13_dominance_counting,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
     "op7_url_filter": urls.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_dominance_counting": dominance.ORACLE,
 }
