@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import decontaminate, dominance, eliasfano, fim, jaccard, language, linededup, ogg, packing, ppm, tokencounts, urls
+from lodestrand.llm import decontaminate, dominance, eliasfano, fim, jaccard, language, linededup, nearest, ogg, packing, ppm, tokencounts, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_language_id": language.op10_language_id,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_nearest_neighbours": nearest.op12_nearest_neighbours,
     "op13_dominance_counting": dominance.op13_dominance_counting,
 }
 
