@@ -202,12 +202,12 @@ def text_of(raw: bytes | None) -> str:
     return raw.decode("utf-8", "replace") if raw else ""
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int | None = None, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches to BATCH_ROWS rows and, by the bytes of column number text, to about `most`."""
+def slices(batches: Iterable[pa.RecordBatch], text: int | None = None, most: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches to that many rows and, by the bytes of column number text, to about `most`."""
     for batch in batches:
         start = 0
         while start < batch.num_rows:
-            part = batch.slice(start, BATCH_ROWS)
+            part = batch.slice(start, rows)
             if text is not None and part.num_rows > 1:
                 lengths = pc.fill_null(pc.binary_length(part.column(text)), 0)
                 sums = pc.cumulative_sum(lengths.cast(pa.int64())).to_numpy(zero_copy_only=False)

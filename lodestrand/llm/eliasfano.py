@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.llm import common
-from lodestrand.llm.tokens import chunked
+from lodestrand.llm.tokens import ROWS, chunked
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -177,7 +177,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int, lowered:
             names, held, size, number = [], [], 0, number + 1
             return done
 
-        for batch in common.slices(batches, 1):
+        for batch in common.slices(batches, 1, rows=ROWS):
             names += batch.column(0).to_pylist()
             for ids in coder.encode([common.text_of(x) for x in common.as_bytes(batch.column(1))]):
                 held.append(ids + tail)

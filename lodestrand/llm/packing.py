@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.llm import common
-from lodestrand.llm.tokens import chunked
+from lodestrand.llm.tokens import ROWS, chunked
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -57,7 +57,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = END, longest: int = SEQUEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunked(vocabulary, False, "<u2")
         tail = np.array([end], "<u2").tobytes()
-        for part in common.slices(batches, 1):
+        for part in common.slices(batches, 1, rows=ROWS):
             coded = coder.encode([common.text_of(x) for x in common.as_bytes(part.column(1))])
             own, start, length, crc, tokens, held = [], [], [], [], [], []
             for k, ids in enumerate(coded):
