@@ -43,7 +43,7 @@ SAMPLE = 96
 TARGET = 0.95
 MOST_VISITS = 4096
 #: Rows of a shard; with very many rows a ten-thousandth of them, so that no more than TABLES * 10,000 cells are split.
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 SHARDS = 10_000
 #: Norms below 2^-BANDS of the largest share a band.
 BANDS = 40
@@ -349,8 +349,40 @@ class _Shard:
         return out
 
 
-#: Queries of a shard that are scored together.
+#: Queries of a shard that are scored together, and hits that a task holds before it merges those of its shards.
 TOGETHER = 256
+HELD_HITS = 1 << 19
+
+
+class _Merged:
+    """A task's hits, of all its shards: of each query the k best."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.parts: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, found: tuple[list, ...]) -> None:
+        self.parts.append([np.array(c, f) for c, f in zip(found, (np.int64, np.int64, np.int64, np.float64), strict=True)])
+        self.size += len(found[0])
+
+    def merge(self) -> list[np.ndarray]:
+        """What is left of the hits; a row that several tables have found has one score and counts once."""
+        query, hashed, ids, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -score, hashed, query))
+        query, hashed, ids, score = query[order], hashed[order], ids[order], score[order]
+        other = np.concatenate([[True], (query[1:] != query[:-1]) | (hashed[1:] != hashed[:-1])])
+        fresh = other | np.concatenate([[True], (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])])
+        number = np.cumsum(fresh)
+        kept = fresh & (number - number[np.flatnonzero(other)][np.cumsum(other) - 1] < self.k)
+        self.parts = [[query[kept], hashed[kept], ids[kept], score[kept]]]
+        self.size = int(kept.sum())
+        return self.parts[0]
+
+    def batch(self) -> pa.RecordBatch:
+        columns = self.merge()
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=HITS.names)
 
 
 def _searched(placed: DataFrame, k: int) -> DataFrame:
@@ -361,6 +393,7 @@ def _searched(placed: DataFrame, k: int) -> DataFrame:
         at: int | None = None
         held: list[pa.RecordBatch] = []
         shard: _Shard | None = None
+        merged = _Merged(k)
         for batch in batches:
             numbers, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (asked[1:] != asked[:-1])])) if len(numbers) else []
@@ -377,8 +410,13 @@ def _searched(placed: DataFrame, k: int) -> DataFrame:
                     lists = part.column(4)
                     sizes, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
                     visited = np.split(flat, np.cumsum(sizes)[:-1])
-                    found = shard.search(part.column(2).to_numpy(), part.column(5).to_numpy(), part.column(3), visited, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=HITS.names)
+                    merged.add(shard.search(part.column(2).to_numpy(), part.column(5).to_numpy(), part.column(3), visited, k))
+                    if merged.size >= HELD_HITS:
+                        merged.merge()
+                        if merged.size >= HELD_HITS // 2:
+                            yield merged.batch()
+        if merged.parts:
+            yield merged.batch()
 
     rows = placed.withColumn("hash", F.when(F.col("asked"), F.xxhash64("vector")).otherwise(F.lit(0).cast("long")))
     return rows.repartition("shard").sortWithinPartitions("shard", "asked").mapInArrow(run, HITS)
