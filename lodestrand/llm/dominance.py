@@ -36,8 +36,8 @@ HEIGHT_SHIFT = 48
 SLOT_SECONDS = 60
 LEVELS_A_UNIT = 100
 
-#: What a task gives of its range of the sorted rows: answers to questions (slot and level; part if the node
-#: may have begun in an earlier partition), and at the end the first and the last node it has seen (no slot).
+#: What a task gives of its range of the sorted rows: answers to questions (slot and level), and at the end the first and the
+#: last node it has seen (no slot). part: its number.
 SUMMED = T.StructType([T.StructField(x, T.LongType()) for x in ("slot", "level", "node", "part", "n", "w")])
 
 
@@ -74,22 +74,20 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, weights = sums - off_n, weights - off_w
         last, n, w = int(node[-1]), int(sums[-1]), int(weights[-1])
         asked = np.flatnonzero(count == 0)
-        early = node[asked] == first
-        numbers = np.full(len(asked), part)
-        columns = [pa.array(slot[asked]), pa.array(level[asked]), pa.array(node[asked]), pa.array(numbers, mask=~early), pa.array(sums[asked]), pa.array(weights[asked])]
-        yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in columns], names=SUMMED.names)
+        columns = [slot[asked], level[asked], node[asked], np.full(len(asked), part), sums[asked], weights[asked]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=SUMMED.names)
     if first is not None:
         ends = [[None, None], [None, None], [first, last], [part, part], [None, n], [None, w]]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=SUMMED.names)
 
 
 def _before(ends: DataFrame) -> DataFrame:
-    """(part, n0, w0) of the partitions whose first node has rows in earlier ones: the sums of these."""
+    """(part, node, n0, w0) of the partitions whose first node has rows in earlier ones: the sums of these."""
     bits = 31
     lasts = ends.where("n is not null").select("node", "n", "w", F.inline(dyadic(F.col("part"), bits)).alias("place", "asked")).where("not asked")
     firsts = ends.where("n is null").select("node", "part", F.inline(dyadic(F.col("part"), bits)).alias("place", "asked")).where("asked")
     held = lasts.groupBy("node", "place").agg(F.sum("n").alias("n0"), F.sum("w").alias("w0"))
-    return firsts.join(held, ["node", "place"]).groupBy("part").agg(F.sum("n0").alias("n0"), F.sum("w0").alias("w0"))
+    return firsts.join(held, ["node", "place"]).groupBy("part", "node").agg(F.sum("n0").alias("n0"), F.sum("w0").alias("w0"))
 
 
 def answers(points: DataFrame) -> DataFrame:
@@ -108,11 +106,11 @@ def answers(points: DataFrame) -> DataFrame:
     spread = rows.repartitionByRange(common.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     summed = common.written(spread.mapInArrow(_running, SUMMED), "dominance")
     ends = summed.where("slot is null").select("node", "part", "n", "w")
-    asked = summed.where("slot is not null")
-    early = asked.where("part is not null").join(_before(ends), "part").select("slot", "level", F.lit(0).cast("long").alias("own"), F.col("n0").alias("n"), F.col("w0").alias("w"))
+    # A row for each partition at most, and a table of known size: Spark sends it to all tasks below its threshold, and else deals both sides by partition and node.
+    asked = summed.where("slot is not null").join(common.written(_before(ends), "before"), ["part", "node"], "left")
     zero = F.lit(0).cast("long")
     each = points.select("slot", "level", F.col("n").alias("own"), zero.alias("n"), zero.alias("w"))
-    all_of_them = each.unionAll(asked.select("slot", "level", zero.alias("own"), "n", "w")).unionAll(early)
+    all_of_them = each.unionAll(asked.select("slot", "level", zero.alias("own"), *((F.col(c) + F.coalesce(f"{c}0", F.lit(0))).alias(c) for c in ("n", "w"))))
     return all_of_them.groupBy("slot", "level").agg(*(F.sum(c).alias(c) for c in ("own", "n", "w")))
 
 
