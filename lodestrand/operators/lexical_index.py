@@ -1,8 +1,8 @@
 """A stored inverted index: postings with positions, in buckets of terms and sorted by term.
 
 A search reads the buckets of its terms only, and of those the row groups that may hold them. Lengths
-are a table of their own, which statistics read without any posting. Both carry the columns by which rows
-may be deleted or filtered. Scores are those of lexical.search and lexical.bm25 over the same documents.
+are a table of their own, for queries that may match without a word. Both carry the columns by which rows
+may be deleted or filtered. The number of documents, their total length and the documents of each term are sums, stored with the index. Scores are those of lexical.search and lexical.bm25 over the same documents.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
@@ -43,10 +44,56 @@ def write_postings(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange(n, *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
 
 
+def totals_of(lengths: DataFrame) -> DataFrame:
+    """One row (n_docs, total_length)."""
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_length"))
+
+
+def terms_of(postings: DataFrame) -> DataFrame:
+    """(bucket, term, df)"""
+    return postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+
+
+def of_terms(rows: DataFrame, terms: Iterable[str]) -> DataFrame:
+    """The rows (bucket, term, ...) of some terms: other buckets are not listed, other terms not read."""
+    wanted = sorted(set(terms))
+    if not wanted:
+        return rows.where(F.lit(False))
+    return rows.where(F.col("bucket").isin([bucket_of(F.lit(x)) for x in wanted]) & F.col("term").isin(wanted))
+
+
+@dataclass
+class Sums:
+    """What a corpus adds up to. The rows of several indexes are summed, and those of deleted documents are negative."""
+
+    totals: DataFrame
+    terms: DataFrame
+
+    @cached_property
+    def corpus(self) -> tuple[int, float]:
+        """The number of documents and their mean length."""
+        n, total = self.totals.agg(F.sum("n_docs"), F.sum("total_length")).first()
+        return int(n or 0), float(total or 0) / n if n else 0.0
+
+    def facts(self, names: list[str]) -> tuple[int, float, dict[str, int]]:
+        """The corpus, and the documents of each of some terms: a row for each term."""
+        held = {r.term: int(r.df) for r in of_terms(self.terms, names).groupBy("term").agg(F.sum("df").alias("df")).collect()} if names else {}
+        return *self.corpus, {t: held.get(t, 0) for t in names}
+
+    def row(self, names: list[str]) -> DataFrame:
+        """One row: n_docs, avg_length, and d0, d1, ... documents that hold a term."""
+        n, average, held = self.facts(names)
+        schema = ", ".join(["n_docs long", "avg_length double", *(f"d{k} long" for k in range(len(names)))])
+        return self.totals.sparkSession.createDataFrame([(n, average, *(held[t] for t in names))], schema)
+
+
 @dataclass
 class LexicalIndex:
+    """sums: as stored; without them, statistics are those of the given lengths and postings."""
+
     postings: DataFrame
     lengths: DataFrame
+    sums: Sums | None = None
 
     @classmethod
     def write(cls, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", carry: Iterable[str] = ()) -> LexicalIndex:
@@ -54,18 +101,20 @@ class LexicalIndex:
         write_postings(own, f"{path}/postings")
         sizes = lengths_of(docs, doc_id, text, carry)
         sizes.write.parquet(f"{path}/lengths")
-        spark = docs.sparkSession
-        return cls(spark.read.schema(own.schema).parquet(f"{path}/postings"), spark.read.schema(sizes.schema).parquet(f"{path}/lengths"))
+        read = docs.sparkSession.read
+        postings, lengths = read.schema(own.schema).parquet(f"{path}/postings"), read.schema(sizes.schema).parquet(f"{path}/lengths")
+        totals, terms = totals_of(lengths), terms_of(postings)
+        totals.write.parquet(f"{path}/totals")
+        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+        return cls(postings, lengths, Sums(read.schema(totals.schema).parquet(f"{path}/totals"), read.schema(terms.schema).parquet(f"{path}/terms")))
 
     def of_terms(self, terms: Iterable[str]) -> DataFrame:
-        """The postings of some terms: other buckets are not listed, other terms not read."""
-        wanted = sorted(set(terms))
-        spark: SparkSession = self.postings.sparkSession
-        buckets = [r.b for r in spark.createDataFrame([(x,) for x in wanted], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect()] if wanted else []
-        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
+        return of_terms(self.postings, terms)
 
     def _stats(self, rows: DataFrame, terms: list[str]) -> DataFrame:
         """One row: n_docs, avg_length, and d0, d1, ... documents that hold a term."""
+        if self.sums is not None:
+            return self.sums.row(terms)
         found = rows.agg(*(F.count_if(F.col("term") == t).alias(f"d{k}") for k, t in enumerate(terms))) if terms else None
         stats = lexical.corpus_stats(self.lengths)
         return stats if found is None else stats.crossJoin(F.broadcast(found))
@@ -88,18 +137,6 @@ class LexicalIndex:
     def topk(self, query: str, k: int, digits: int | None = 6) -> DataFrame:
         return lexical.top_k(self.bm25(lexical.query_terms(query), digits), k, "doc_id")
 
-    def batch(self, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", digits: int = 6) -> DataFrame:
-        """(query_id, doc_id, score, rank): the k best documents of each of many queries."""
-        asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.terms(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        terms = asked.select(bucket_of(F.col("term")).alias("bucket"), "term").distinct()
-        rows = self.postings.select("bucket", "term", "doc_id", "length", "tf").join(terms, ["bucket", "term"], "left_semi")
-        df = rows.groupBy("term").agg(F.count("*").alias("df"))
-        weighted = rows.join(df, "term").crossJoin(F.broadcast(lexical.corpus_stats(self.lengths)))
-        w = F.col("qtf") * lexical.idf(F.col("n_docs"), F.col("df")) * lexical.weight(F.col("tf"), F.col("length"), F.col("avg_length"))
-        scored = weighted.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(w), digits).alias("score"))
-        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
     def _held(self, terms: list[str], rows: DataFrame) -> DataFrame:
         """(doc_id, length, p0, p1, ...): where each term stands in the documents that hold one of them."""
         places = (F.coalesce(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True), F.array().cast("array<int>")).alias(f"p{k}") for k, t in enumerate(terms))

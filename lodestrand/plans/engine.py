@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 
 from lodestrand.config import Settings
 from lodestrand.functions import ids
-from lodestrand.operators import chunking, fusion, lexical_index, manifests, vector_search
+from lodestrand.operators import chunking, fusion, manifests, vector_search
 from lodestrand.operators.lexical_index import LexicalIndex
+from lodestrand.plans import segments
 from lodestrand.sources import files as F_
 from lodestrand.sources import store as S
 from lodestrand.sources.embedding import Embedder, HttpEmbedder, embed_chunks
 
 IDLE, INDEXING, COMPLETED, FAILED = "idle", "indexing", "completed", "failed"
 DEFAULT_LIMIT = 10
-#: Columns of a chunk that a lexical query may ask for, beside its text.
-FIELDS = ["relative_path", "language", "start_line", "end_line"]
 HIT = ["file_path", "relative_path", "content", "start_line", "end_line", "language", "score"]
 
 
@@ -103,10 +102,11 @@ class Engine:
         Files whose bytes are no text give a warning, and are not tried again until they change."""
         began = time.time()
         root = str(F_.checked_root(path))
-        collection = self._collection(root)
-        lock = S.Lock(self.store, f"{collection.name}.lock", self.lock_seconds)
+        name = self.name_of(root)
+        lock = S.Lock(self.store, f"{name}.lock", self.lock_seconds)
         if not lock.take({"path": root}):
             raise Busy(f"{root} is being indexed")
+        collection = S.Collection(self.store, name, lock.ours)
         try:
             collection.refresh()
             self._save_status(collection, IndexStatus(status=INDEXING))
@@ -124,11 +124,13 @@ class Engine:
         paths = F_.walk(root, self.settings, self.home)
         files = F_.read(self.spark, root, paths)
         current = manifests.fingerprints(files, content="bytes").persist()
+        held = [current]
         try:
-            before = None if force or not collection.exists or collection.header["inputs"] != self.inputs() else collection.table("manifest")
+            before = None if force or not collection.exists or collection.header.get("inputs") != self.inputs() else collection.table("manifest")
             changes = None
             if before is not None:
                 changes = manifests.diff(before, current).persist()
+                held.append(changes)
                 if changes.isEmpty():
                     counts = collection.header["counts"]
                     status = IndexStatus(len(paths), len(paths), counts["chunks"], 0, 0, COMPLETED)
@@ -136,24 +138,25 @@ class Engine:
             work = files if changes is None else manifests.changed(files, changes)
             warnings = [r.relative_path for r in F_.unreadable(work).orderBy("relative_path").collect()]
             chunks = chunking.split(F_.texts(work), self.settings.split).persist()
+            held.append(chunks)
             n_chunks = chunks.count()
             # Only new rows are written; those of changed and deleted files become void by their paths.
             tables = {"manifest": current if changes is None else manifests.changed(current, changes), "chunks": chunks}
-            tables |= {"lengths": lexical_index.lengths_of(chunks, "chunk_id", "content", FIELDS), "postings": lexical_index.postings_of(chunks, "chunk_id", "content", FIELDS)}
+            tables |= segments.lexical_tables(chunks)
             n_vectors = 0
             if self.embedder is not None:
                 tables["vectors"] = embed_chunks(chunks, self.embedder)
                 n_vectors = n_chunks
             facts = {"path": root, "inputs": self.inputs(), "counts": {"files": len(paths), "chunks": n_chunks}}
-            collection.append(tables, None if changes is None else manifests.stale(changes), facts, {"postings": lexical_index.write_postings})
-            total = collection.table("chunks").count()
-            collection.header["counts"]["chunks"] = total
+            stale = None if changes is None else manifests.stale(changes)
+            gone = None if stale is None else segments.gone_tables(collection, stale)
+            collection.append(tables, stale, facts, segments.WRITERS, segments.DERIVED, gone)
+            # The chunks that count are a sum that the index keeps.
+            collection.header["counts"]["chunks"] = segments.sums(collection).corpus[0]
             self.store.save(f"{collection.name}/current.json", collection.header)
-            if changes is not None:
-                changes.unpersist()
-            chunks.unpersist()
         finally:
-            current.unpersist()
+            for df in held:
+                df.unpersist()
         result = IndexResult(len(paths), n_chunks, n_vectors, n_vectors, self.embedder is None, 0, "indexed", warnings)
         return result, IndexStatus(len(paths), len(paths), n_chunks, n_vectors, n_vectors, COMPLETED)
 
@@ -190,9 +193,11 @@ class Engine:
 
     @staticmethod
     def _lexical(collection: S.Collection, chunks: DataFrame, query: str, limit: int, wanted: list[str], strict: bool) -> DataFrame:
-        """The postings of the query's terms are read, and then the hits' chunks."""
-        index = LexicalIndex(fusion.filtered(collection.table("postings"), wanted), fusion.filtered(collection.table("lengths"), wanted))
-        best = index.search(query, limit, strict)
+        """The postings of the query's terms are read, and then the hits' chunks. A filter before the search has statistics of its own."""
+        if wanted:
+            best = LexicalIndex(fusion.filtered(collection.table("postings"), wanted), fusion.filtered(collection.table("lengths"), wanted)).search(query, limit, strict)
+        else:
+            best = segments.search(collection, query, limit, strict)
         rows = fusion.filtered(chunks, wanted)
         # The lexical leg knows no file_path; fusion or the search fills it in.
         return rows.join(F.broadcast(best.withColumnRenamed("doc_id", "chunk_id")), "chunk_id").withColumn("file_path", F.lit("")).select(*chunking.COLUMNS, "score")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.operators import fusion, lexical, vector_search
+from lodestrand.operators.block_index import BlockIndex
 from lodestrand.operators.lexical_index import LexicalIndex
 
 
 def hybrid_documents(
-    docs: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], k: int, leg: int, extensions: Iterable[str] = (), prefilter: bool = False, index: LexicalIndex | None = None
+    docs: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], k: int, leg: int, extensions: Iterable[str] = (), prefilter: bool = False, index: BlockIndex | LexicalIndex | None = None
 ) -> DataFrame:
     """(doc_id, score, n_legs, source, lang) of the k best documents; vec_id is doc_id.
 

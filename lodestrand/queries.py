@@ -5,10 +5,7 @@ Documents stand for files: their path is source/doc_id and an ending that follow
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +14,10 @@ from lodestrand.functions import ids
 from lodestrand.functions import text as X
 from lodestrand.functions import vectors as V
 from lodestrand.operators import chunking, fusion, lexical, manifests, syntax, vector_search
+from lodestrand.operators.block_index import BlockIndex
 from lodestrand.operators.lexical_index import LexicalIndex
 from lodestrand.plans.hybrid import hybrid_documents
+from lodestrand.sources.scratch import files_of, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -319,16 +318,28 @@ def collection_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lexical search
 
-_indexes: dict[tuple[str, str], LexicalIndex] = {}
+_indexes: dict[tuple, tuple[list, LexicalIndex | BlockIndex]] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: type[LexicalIndex] | type[BlockIndex]) -> LexicalIndex | BlockIndex:
+    """A stored index of the documents: written by the first query of a session that needs it, and read by all until the table's files change."""
+    path = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, kind.__name__, path)
+    version = files_of(spark, path)
+    held = _indexes.get(key)
+    if held is None or held[0] != version:
+        _indexes[key] = held = (version, kind.write(table(spark, sf_dir, "documents"), scratch(spark, "lexical")))
+    return held[1]
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    """The stored index of the documents: written by the first query of a session that searches, and read by all."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="lexical-")).as_uri()
-        _indexes[key] = LexicalIndex.write(table(spark, sf_dir, "documents"), f"{base.rstrip('/')}/lexical-{uuid.uuid4().hex}")
-    return _indexes[key]
+    """Postings with positions, for phrases and the grammar."""
+    return _stored(spark, sf_dir, LexicalIndex)
+
+
+def blocks_of(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """Postings in blocks with bounds, for the best documents of plain words."""
+    return _stored(spark, sf_dir, BlockIndex)
 
 
 TOKENS = r"tok AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: strlen(x) < 40), lambda x: lower(x)) AS t FROM documents)"
@@ -382,7 +393,7 @@ def _bm25_sql(text: str, k: int) -> str:
 
 @query(f"WITH {TOKENS}, {BM25} {_bm25_sql(QUERY, K)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(spark, sf_dir).topk(QUERY, K)
+    return blocks_of(spark, sf_dir).topk(QUERY, K)
 
 
 @query(
@@ -393,7 +404,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return index_of(spark, sf_dir).batch(items, K)
+    return blocks_of(spark, sf_dir).batch(items, K)
 
 
 @query(
@@ -486,14 +497,14 @@ FUSED = "SELECT doc_id, round(sum(1e0 / (60 + rank)), 9) AS score, CAST(count(*)
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = [
         fusion.ranked(vector_search.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), LEG).withColumnRenamed("vec_id", "doc_id"), "doc_id"),
-        fusion.ranked(index_of(spark, sf_dir).topk(QUERY, LEG), "doc_id"),
+        fusion.ranked(blocks_of(spark, sf_dir).topk(QUERY, LEG), "doc_id"),
     ]
     return fusion.fuse(legs, 2 * LEG)
 
 
 @query(f"WITH {LEGS.replace('@where@', '')}, fused AS ({FUSED} ORDER BY score DESC, doc_id LIMIT {K}) SELECT fused.doc_id, score, n_legs, source, lang FROM fused JOIN documents USING (doc_id)")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG, index=index_of(spark, sf_dir))
+    return hybrid_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG, index=blocks_of(spark, sf_dir))
 
 
 _MD = f"WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % {len(ENDINGS)} = 1)"
@@ -503,7 +514,7 @@ _MD = f"WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % {len(ENDING
 def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits are filtered by extension after each leg's best, and ranked again."""
     docs = table(spark, sf_dir, "documents").withColumn("relative_path", _path())
-    return hybrid_documents(docs, table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG, ["md"], index=index_of(spark, sf_dir))
+    return hybrid_documents(docs, table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), K, LEG, ["md"], index=blocks_of(spark, sf_dir))
 
 
 # Collections

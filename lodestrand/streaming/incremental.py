@@ -1,8 +1,9 @@
-"""Indexing as rows arrive: file versions from a stream are merged into a chunks table.
+"""Indexing as rows arrive: file versions from a stream are merged into a collection that the engine can search.
 
-A micro-batch keeps each path's last version, adds a segment with the path's new rows that makes the old ones void, and
-leaves paths alone whose bytes did not change. The header has the batch's number: a batch that runs again after
-a failure, from Structured Streaming's checkpoint, is taken up once.
+Each path's newest version counts, whatever batch it arrives in: the versions that a collection has taken up are a table of
+its segments, deletions included, and a row that is not newer than what is known of its path is left out. A micro-batch adds a segment with the new rows of
+paths whose bytes changed, and makes their old rows void. So batches that arrive in another order, or twice, give the rows of one run over
+all of them. The header has the batch's number as well: a batch that runs again after a failure, from Structured Streaming's checkpoint, is taken up once.
 """
 
 from __future__ import annotations
@@ -12,35 +13,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestrand.config import PIPELINE, SplitConfig
-from lodestrand.operators import chunking, manifests
-from lodestrand.sources.store import Collection, Store
+from lodestrand.operators import chunking
+from lodestrand.plans import segments
+from lodestrand.sources.embedding import Embedder, embed_chunks
+from lodestrand.sources.store import LOCK_SECONDS, Collection, Lock, Lost, Store
+
+
+def newest(batch: DataFrame) -> DataFrame:
+    """(relative_path, version, sha256, content): of each path the row of the highest version, and of equal ones that of the
+    greatest hash. A null content deletes, and gives way to an equal version with one; a null version is older than all."""
+    prints = F.coalesce(F.sha2(F.col("content").cast("binary"), 256), F.lit(""))
+    order = F.struct(F.coalesce("version", F.lit(-(1 << 63))).cast("long").alias("version"), prints.alias("sha256"))
+    last = batch.groupBy("relative_path").agg(F.max(order).alias("at"), F.max_by(F.struct("content"), order).alias("row"))
+    return last.select("relative_path", "at.version", "at.sha256", F.col("row.content").alias("content"))
 
 
 class StreamIndex:
     """Merges versions (relative_path, content, version) into a collection; a null content deletes."""
 
-    def __init__(self, spark: SparkSession, workspace: str, name: str, split: SplitConfig = PIPELINE):
-        self.spark, self.split = spark, split
-        self.collection = Collection(Store(spark, workspace), name)
+    def __init__(self, spark: SparkSession, workspace: str, name: str, split: SplitConfig = PIPELINE, embedder: Embedder | None = None, lock_seconds: float = LOCK_SECONDS):
+        self.spark, self.split, self.embedder, self.lock_seconds = spark, split, embedder, lock_seconds
+        self.store = Store(spark, workspace)
+        self.collection = Collection(self.store, name)
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        """Take up a micro-batch, unless it has been."""
-        self.collection.refresh()
-        if self.collection.exists and self.collection.header.get("batch", -1) >= number:
-            return
-        last = batch.groupBy("relative_path").agg(F.max_by(F.struct("content"), "version").alias("row"))
-        files = last.select("relative_path", F.col("row.content").alias("content")).persist()
+        """Take up a micro-batch, unless it has been. Only one run at a time may change a collection; Lost: another does now."""
+        lock = Lock(self.store, f"{self.collection.name}.lock", self.lock_seconds)
+        if not lock.take({"batch": number}):
+            raise Lost(f"{self.collection.name} is being indexed by another run")
+        self.collection.owned = lock.ours
+        try:
+            self.collection.refresh()
+            if not self.collection.exists or self.collection.header.get("batch", -1) < number:
+                self._merge(batch, number)
+        finally:
+            lock.give_back()
+
+    def _merge(self, batch: DataFrame, number: int) -> None:
+        before = self.collection.table("versions")
+        new, gone = newest(batch), None
+        if before is not None:
+            known = before.groupBy("relative_path").agg(F.max(F.struct("version", "sha256")).alias("known"))
+            new = new.join(known, "relative_path", "left").where(F.col("known").isNull() | (F.struct("version", "sha256") > F.col("known")))
+            new = new.withColumn("held", F.coalesce("known.sha256", F.lit(""))).drop("known")
+        else:
+            new = new.withColumn("held", F.lit(""))
+        new = new.persist()
+        chunks = None
         try:
-            before = self.collection.table("manifest")
-            prints = manifests.fingerprints(files.where("content is not null"))
-            gone, changed = None, prints
+            changed = new.where(F.col("sha256") != F.col("held"))
             if before is not None:
-                moved = manifests.diff(before.join(files.select("relative_path"), "relative_path", "left_semi"), prints).persist()
-                gone, changed = manifests.stale(moved), manifests.changed(prints, moved)
-            new = files.join(changed.select("relative_path"), "relative_path", "left_semi")
-            self.collection.append({"manifest": changed, "chunks": chunking.split(new, self.split)}, gone, {"batch": number})
+                gone = changed.where("held <> ''").select("relative_path")
+            files = changed.where("sha256 <> ''")
+            chunks = chunking.split(files.select("relative_path", "content"), self.split).persist()
+            tables = {"manifest": files.select("relative_path", "sha256"), "versions": new.select("relative_path", "version", "sha256"), "chunks": chunks}
+            tables |= segments.lexical_tables(chunks)
+            if self.embedder is not None:
+                tables["vectors"] = embed_chunks(chunks, self.embedder)
+            sums = None if gone is None else segments.gone_tables(self.collection, gone)
+            self.collection.append(tables, gone, {"batch": number}, segments.WRITERS, segments.DERIVED, sums)
         finally:
-            files.unpersist()
+            new.unpersist()
+            if chunks is not None:
+                chunks.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         """Follow a stream of versions; once: what is there now, and then end."""
@@ -50,5 +85,3 @@ class StreamIndex:
     def chunks(self) -> DataFrame | None:
         self.collection.refresh()
         return self.collection.table("chunks")
-
-

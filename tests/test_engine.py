@@ -2,12 +2,14 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
 
 from lodestrand.config import Settings
-from lodestrand.operators import manifests
+from lodestrand.operators import lexical, manifests
+from lodestrand.plans import segments
 from lodestrand.plans.engine import Busy, Engine
 from lodestrand.sources import files as files_of
 from lodestrand.sources import store as S
@@ -247,3 +249,103 @@ def test_search_by_fields(spark, tmp_path):
     found = lambda q, **k: [r.relative_path for r in engine.search(str(root), q, 9, **k).collect()]
     assert found("fox") == ["b.md", "a.yml"] and found("fox AND language:yaml") == ["a.yml"] and set(found("relative_path:[a TO c]")) == {"a.yml", "b.md"}
     assert found("fox", extensions=["yml"], prefilter=True) == ["a.yml"]
+
+
+def test_one_breaks_an_old_lock(spark, tmp_path):
+    """Two runs find the same old lock; the second has read its age before the first took over."""
+    store = S.Store(spark, str(tmp_path))
+    store.create_alone("x.lock", {"owner": "gone"})
+    first, second = S.Lock(store, "x.lock", 0.01), S.Lock(store, "x.lock", 0.01)
+    time.sleep(0.1)
+    age, held = store.age("x.lock"), store.load("x.lock")
+    first.seconds = 60
+    assert first._break("gone") and store.create_alone("x.lock", {"owner": first.owner})
+    second.store = type("Late", (), {"age": lambda self, p: age, "load": lambda self, p: held if p == "x.lock" and not self.__dict__.setdefault("read", []) and not self.read.append(1) else store.load(p), "__getattr__": lambda self, n: getattr(store, n)})()
+    assert not second.take({})
+    assert first.ours() and store.load("x.lock")["owner"] == first.owner
+    second.give_back()
+    assert store.exists("x.lock")
+
+
+def test_a_lost_owner_cannot_publish(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1)], "relative_path string, n int")
+    lock = S.Lock(store, "c.lock", 60)
+    assert lock.take({})
+    mine = S.Collection(store, "c", lock.ours)
+    mine.append({"t": rows}, None, {})
+    # Another run has published since this one has read the header.
+    other = S.Collection(store, "c")
+    other.append({"t": rows.withColumn("n", rows.n + 1)}, None, {})
+    with pytest.raises(S.Lost):
+        mine.append({"t": rows}, None, {})
+    mine.refresh()
+    assert [r.n for r in mine.table("t").collect()] == [2] and len([x for x in store.names("c")]) == 2
+    # The lock has gone to another.
+    store.delete("c.lock")
+    with pytest.raises(S.Lost):
+        mine.append({"t": rows}, None, {})
+
+
+VERSIONS = "relative_path string, content string, version long"
+
+
+def test_stream_of_late_and_repeated_versions(spark, tmp_path):
+    """Batches in any order, and twice, give the rows of one batch of all; the engine's sums and searches agree with a scan."""
+    rnd = random.Random(8)
+    rows = [(f"f{k % 9}.yml", None if rnd.random() < 0.2 else f"word{rnd.randint(0, 3)} common x{k}", k) for k in range(40)] + [("same.yml", "x", 1), ("same.yml", "x", 5), ("same.yml", "y", 3), ("tie.yml", "a", 2), ("tie.yml", "b", 2), ("null.yml", "n", None)]
+
+    def indexed(name, batches):
+        index = StreamIndex(spark, str(tmp_path / "w"), name)
+        for n, batch in enumerate(batches):
+            index.merge(spark.createDataFrame(batch, VERSIONS).coalesce(1), n)
+        return index
+
+    whole = indexed("one", [rows])
+    want = sorted(map(tuple, whole.chunks().collect()))
+    assert any(r[3] == "same.yml" and r[1] == "x" for r in want)
+    mixed = rows + rows[:20]
+    rnd.shuffle(mixed)
+    parts = indexed("many", [mixed[k : k + 9] for k in range(0, len(mixed), 9)])
+    assert sorted(map(tuple, parts.chunks().collect())) == want
+    for index in (whole, parts):
+        own = segments.blocks(index.collection)
+        docs = index.chunks().select("chunk_id", "content")
+        for query in ("common word1", "x", "word2 word2"):
+            scan = lexical.bm25_topk(docs, query, 4, "chunk_id", "content").collect()
+            assert own.topk(query, 4).collect() == scan
+            assert segments.postings(index.collection).search(query, 4).collect() == scan
+
+
+def test_engine_searches_streamed_collections(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    engine = Engine(spark, str(tmp_path / "w"), home=str(tmp_path))
+    index = StreamIndex(spark, str(tmp_path / "w"), engine.name_of(str(root)))
+    index.merge(spark.createDataFrame([("a.yml", "needle one", 2), ("b.yml", "two", 1)], VERSIONS), 0)
+    index.merge(spark.createDataFrame([("a.yml", "old needle two", 1), ("b.yml", "needle needle", 4)], VERSIONS), 1)
+    assert [(r.relative_path, r.content) for r in engine.search(str(root), "needle").collect()] == [("b.yml", "needle needle"), ("a.yml", "needle one")]
+    assert engine.search(str(root), '+needle -"needle needle"').first().relative_path == "a.yml"
+
+
+def test_sums_after_deletes_and_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "MOST_SEGMENTS", 2)
+    root = tmp_path / "r"
+    tree(root, **{f"f{k}.yml": f"word{k} common common" for k in range(6)})
+    engine = Engine(spark, str(tmp_path / "w"), home=str(tmp_path))
+    seen = set()
+    for step in range(4):
+        engine.index(str(root))
+        collection = engine._collection(str(root))
+        seen.add(len(collection.header["segments"]))
+        docs = collection.table("chunks").select("chunk_id", "content")
+        want = lexical.corpus_stats(lexical.lengths(docs, "chunk_id", "content")).first()
+        n, average, held = segments.sums(collection).facts(["common", "word1", "late"])
+        assert (n, round(average, 9)) == (want.n_docs, round(want.avg_length, 9)) and collection.header["counts"]["chunks"] == n
+        assert held == {t: docs.where(docs.content.contains(t)).count() for t in held}
+        scan = lexical.bm25_topk(docs, "common late", 3, "chunk_id", "content").collect()
+        assert segments.search(collection, "common late", 3).collect() == scan
+        (root / f"f{step}.yml").unlink()
+        put(root, f"f{step + 1}.yml", f"late common {step}")
+        put(root, f"g{step}.yml", "late common late")
+    assert seen == {1, 2}

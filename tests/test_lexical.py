@@ -3,6 +3,7 @@
 import pytest
 
 from lodestrand.operators import lexical
+from lodestrand.operators.block_index import BlockIndex
 from lodestrand.operators.lexical_index import LexicalIndex
 from tests.conftest import DATA
 
@@ -63,7 +64,8 @@ def test_index_equals_texts(spark, tmp_path):
         assert own.search(text, 20).collect() == lexical.search(docs, text, 20).collect()
     assert sorted(own.phrase("of the").collect()) == sorted(lexical.phrase_matches(docs, "of the").collect())
     items = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").limit(9)
-    both = [x.orderBy("query_id", "rank").select("query_id", "doc_id", "score", "rank").collect() for x in (own.batch(items, 4, "item_id", "text"), lexical.bm25_batch(docs, items, 4, query_id="item_id", query="text"))]
+    blocks = BlockIndex.write(docs, str(tmp_path / "b"))
+    both = [x.orderBy("query_id", "rank").select("query_id", "doc_id", "score", "rank").collect() for x in (blocks.batch(items, 4, "item_id", "text"), lexical.bm25_batch(docs, items, 4, query_id="item_id", query="text"))]
     assert both[0] == both[1] and len(both[0]) > 9
     plan = own.topk("that thon", 5)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "In(term" in plan and "documents.parquet" not in plan
