@@ -6,8 +6,8 @@ block shift table skips positions where no pattern can end, suffix-hash buckets
 patterns that may end at the others, and a direct comparison confirms each occurrence.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
-window; an item with a null item_id is not searched for, as in ORACLE: words that only it holds are
-no hits and its documents stay; items with equal windows all count; repeated rows each get their own
+window; an item with a null item_id is searched for like all others, so words in its windows are hit and their document is
+contaminated, but it has no id to count or to list; items with equal windows all count; repeated rows each get their own
 result; an empty table gives an empty result; an empty benchmark gives no hits. Extra columns are
 left alone.
 """
@@ -81,11 +81,11 @@ class WuManber:
 class Matcher:
     """All windows of a block of items: Wu-Manber tables by classes of pattern length."""
 
-    def __init__(self, items: Iterable[tuple[str, bytes | None]], size: int = WINDOW_WORDS):
+    def __init__(self, items: Iterable[tuple[str | None, bytes | None]], size: int = WINDOW_WORDS):
         self.owners: dict[bytes, set[str]] = defaultdict(set)
         for name, raw in items:
             for pattern in windows(words(raw), size):
-                self.owners[pattern].add(name)
+                self.owners[pattern].update(() if name is None else (name,))
         classes: dict[int, list[bytes]] = defaultdict(list)
         for pattern in self.owners:
             classes[len(pattern).bit_length()].append(pattern)
@@ -132,13 +132,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     documents' rows for each, chained in the same task; nothing is shuffled. Columns that have the
     added names (prefix before each) must not be in docs."""
     spark = common.prepare(docs.sparkSession)
-    queries = items.select(F.col(item_id).cast("string").alias("id"), common.utf8(item_text).alias("raw")).where("id is not null and raw is not null")
+    queries = items.select(F.col(item_id).cast("string").alias("id"), common.utf8(item_text).alias("raw")).where("raw is not null")
     total = queries.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
     added = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in HITS])
     for k in range(blocks):
         # An item is at most 2 GB; a block holds BLOCK_BYTES on average, whatever the benchmark's size.
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
+        rows = queries.where(F.pmod(F.xxhash64("id", "raw"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast([(r.id, bytes(r.raw)) for r in rows])
         if k == 0:
             docs = common.append_columns(docs, text, _searcher(shared, size), added)
@@ -219,7 +219,7 @@ WITH dw AS (
   FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
 ), iw AS (
   SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), win AS (
   SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS win
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM iw WHERE len(w) > 0)

@@ -428,6 +428,8 @@ class JaccardJoin:
     """The join's stages over a table: members, classes, the forest, and verified links."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET):
+        if recall([1] * TREES, threshold) < target:
+            raise ValueError(f"{TREES} trees find a pair of similarity {threshold} with probability {recall([1] * TREES, threshold):.4f} at most, not {target}")
         self.spark = common.prepare(docs.sparkSession)
         common.ensure_checkpoints(self.spark)
         self.threshold, self.target = threshold, target

@@ -7,11 +7,13 @@ counts one, and only the rest are merged by the library, each distinct one once
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted one by
 one; an empty table gives an empty one; extra columns are left alone. Special strings inside texts
 count as the library takes them by default; such texts, and texts with two white space characters
-in a row, are cut as a whole, all others first at single spaces, where pre-tokens always begin.
+in a row, are cut as a whole, all others first at single spaces, where pre-tokens always begin. A vocabulary that
+cuts or normalises texts in another way than PRE_TOKENS is refused with a ValueError.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -34,6 +36,10 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 def whole_tokens(vocabulary: str) -> frozenset[str]:
     """The strings that the library encodes alone as one token, tried one by one."""
     library = Tokenizer.from_file(vocabulary)
+    rules = json.loads(library.to_str())
+    cut = rules["pre_tokenizer"] or {}
+    if rules["normalizer"] is not None or (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) != ("ByteLevel", True, False):
+        raise ValueError(f"{vocabulary} does not cut texts by the pattern of byte-level vocabularies alone")
     ids = sorted(set(library.get_vocab(with_added_tokens=False).values()))
     special = set(library.get_added_tokens_decoder())
     strings = [library.decode([x], skip_special_tokens=False) for x in ids if x not in special]

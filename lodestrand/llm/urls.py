@@ -90,9 +90,11 @@ def alias_verdicts(edges: DataFrame, rules: Iterable[tuple[str, str, str]]) -> D
     classes = connected_components(edges)
     url = F.concat(F.lit("x://"), F.col("node"))
     own = rule_of(host_of(url), path_of(url), rules)[1]
-    decided = classes.withColumn("own", own).groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
+    decided = classes.withColumn("own", own).groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"), F.count("*").alias("nodes"))
     inherited = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block")
-    return classes.join(decided, "component").select("node", inherited.alias("inherited")).where("inherited is not null")
+    decided = common.written(decided.select("component", inherited.alias("inherited"), "nodes").where("inherited is not null"), "decided")
+    # A component may hold a third of all nodes: those of the largest stay where they are.
+    return common.hot_join(classes, decided, "component", "nodes").select("node", "inherited")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url", html: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -105,7 +107,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id:
     judged = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), node_of(F.col(url)).alias("node"))
     judged = judged.withColumns({"rule": rule, "own": verdict})
     if edges:
-        judged = judged.join(alias_verdicts(reduce(DataFrame.union, edges), rules), "node", "left")
+        # Many pages may have one url, or none that is a node.
+        linked, alone = judged.where("node is not null"), judged.where("node is null").withColumn("inherited", F.lit(None).cast("string"))
+        pages_of = linked.groupBy("node").agg(F.count("*").alias("pages"))
+        aliases = common.written(alias_verdicts(reduce(DataFrame.union, edges), rules).join(pages_of, "node"), "aliases")
+        judged = common.hot_join(linked, aliases, "node", "pages", "left").drop("pages").unionByName(alone)
     else:
         judged = judged.withColumn("inherited", F.lit(None).cast("string"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("own", "inherited", F.lit("allow")).alias("verdict"), "inherited")

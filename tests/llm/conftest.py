@@ -51,6 +51,9 @@ def write(folder, rows, items, pages=(), extra=False):
     pq.write_table(pa.table([pa.array([i for i, _ in items], pa.int64()), pa.array([t for _, t in items], pa.string())], names=["item_id", "text"]), folder / "benchmark.parquet")
     columns = list(zip(*pages)) if pages else [[]] * 3
     pq.write_table(pa.table([pa.array(list(x), k) for x, k in zip(columns, [pa.int64(), pa.string(), pa.string()])], names=["page_id", "url", "html"]), folder / "pages.parquet")
+    # The tables of the other queries, without rows.
+    pq.write_table(pa.table({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))}), folder / "embeddings.parquet")
+    pq.write_table(pa.table({"sale_id": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "sold_at": pa.array([], pa.timestamp("us"))}), folder / "sales.parquet")
     return str(folder)
 
 

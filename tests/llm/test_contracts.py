@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestrand.llm import common, decontaminate, eliasfano, jaccard, language, linededup, ogg, packing, ppm, queries, tokencounts, urls
@@ -216,3 +217,55 @@ def test_op7_with_edges(spark, tmp_path):
     rows = got.select("page_id", "host", "path", "rule", "verdict").collect()
     assert Counter(map(tuple, rows)) == Counter(want)
     assert all(r.verdict == "block" for r in rows if r.page_id is not None)
+
+
+def test_op3_items_without_an_id(spark, tmp_path):
+    """Their windows are hits and contaminate; they are not counted or listed."""
+    text = "one two three four five six seven eight nine ten"
+    folder = write(tmp_path, [(1, f"x {text} y", None, None, None), (2, "one two", None, None, None), (3, f"{text} and solo", None, None, None)], [(None, text), (None, None), (7, "solo")])
+    found = {r.doc_id: r for r in decontaminate.op3_benchmark_decontamination(spark, folder).collect()}
+    assert [(found[k].n_hit, found[k].n_items, found[k].contaminated) for k in (1, 2, 3)] == [(10, 0, True), (0, 0, False), (11, 1, True)]
+    assert found[1].items_sha256 == hashlib.sha256(b"").hexdigest() and found[3].items_sha256 == hashlib.sha256(b"7").hexdigest()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    same(decontaminate.op3_benchmark_decontamination(spark, folder), con, decontaminate.ORACLE)
+    kept = decontaminate.decontaminated(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_op6_refuses_other_rules():
+    import public_tokenizers
+
+    assert len(tokencounts.whole_tokens(public_tokenizers.path("byte_bpe_50k.json"))) > 40_000
+    with pytest.raises(ValueError, match="word_bpe_49k"):
+        tokencounts.whole_tokens(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_op1_refuses_what_its_trees_cannot_find(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="similarity 0.1"):
+        jaccard.JaccardJoin(docs, threshold=0.1)
+    jaccard.JaccardJoin(docs, threshold=0.4)
+
+
+def test_op7_large_components_and_null_urls(spark):
+    """One component of 5,000 nodes, a popular url and many nulls: right verdicts, and no partition with most of the rows."""
+    hub = "http://block.example.org/es/0"
+    rows = [(k, f"http://h{k}.net/p", f'<link rel="canonical" href="{"http://example.org/es/0" if k == 1 else "http://h1.net/p"}">') for k in range(1, 5001)]
+    rows += [(10_000 + k, None, None) for k in range(3000)] + [(20_000 + k, "http://h7.net/p", None) for k in range(3000)] + [(30_000, hub, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        judged = urls.judge(pages).withColumn("part", F.spark_partition_id()).cache()
+        sizes = [r["count"] for r in judged.groupBy("part").count().collect()]
+        found = {(r.verdict, r["count"]) for r in judged.groupBy("verdict").count().collect()}
+        judged.unpersist()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    # All of h1 .. h5000 are aliases of a blocked url, popular h7 too; the page under the blocked path's host has a subdomain of it.
+    assert found == {("block", 8001), ("allow", 3000)}
+    assert max(sizes) <= sum(sizes) / 4
