@@ -15,6 +15,7 @@ from lodestrand.functions import text as X
 from lodestrand.functions import vectors as V
 from lodestrand.operators import chunking, fusion, lexical, manifests, syntax, vector_search
 from lodestrand.operators.block_index import BlockIndex
+from lodestrand.operators.ivf_pq import IvfPq
 from lodestrand.operators.lexical_index import LexicalIndex
 from lodestrand.plans.hybrid import hybrid_documents
 from lodestrand.sources.scratch import files_of, scratch
@@ -469,6 +470,35 @@ def cosine_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.batch_top_k(vectors, asked, K)
 
 
+_COSINES = (
+    "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), "
+    "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) "
+    f"SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {K}"
+)
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the queries: those whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_COSINES)
+def ivf_pq_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file with all cells visited: code tables leave the rows that may be among the best, and the rows are those of a scan."""
+    vectors, asked = _asked_vectors(spark, sf_dir)
+    index = IvfPq.write(vectors, scratch(spark, "ivf"))
+    return index.search(asked, K, len(index.model.centres))
+
+
+@query()
+def ivf_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file with as many cells visited as a sample of queries needs, and 20 exact scores a hit in each; pytest measures the recall."""
+    vectors, asked = _asked_vectors(spark, sf_dir)
+    index = IvfPq.write(vectors, scratch(spark, "ivf"))
+    return index.search(asked, K, index.probes_for(asked, 0.97, K), rerank=20)
+
+
 @query(
     "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS same, 0.0 AS shorter, 0.0 AS zero, 0.0 AS missing FROM embeddings"
 )
