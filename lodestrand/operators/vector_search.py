@@ -1,8 +1,8 @@
 """Vector search: exact top-k by cosine, inner product or distance, for one query or many.
 
-One query's vector is a literal in the plan. Many queries are searched in blocks of rows, each block
-a broadcast of a stated size, with a matrix product per Arrow batch; a batch keeps its k best per
-query, so the shuffle carries k rows per query and task, not all pairs.
+One query's vector is a literal in the plan. Many queries are broadcast in blocks of a stated size, and a scan of the vectors takes
+several blocks at once, with a matrix product per Arrow batch and block; a task keeps its k best per
+query over all its batches, so the shuffle carries k rows per query and task, not all pairs.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +20,9 @@ from lodestrand.functions import vectors as V
 from lodestrand.shipping import ship
 
 METRICS = {"cosine": (V.cosine, True), "ip": (V.inner_product, True), "l2": (V.l2, False)}
-#: Queries that one pass over the vectors takes.
+#: Queries of a block, and blocks that one scan of the vectors takes.
 QUERY_BLOCK = 2048
+BLOCKS_A_SCAN = 16
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", vector_id: str = "vec_id", vector: str = "embedding", digits: int | None = 6) -> DataFrame:
@@ -56,45 +57,73 @@ def batch_top_k(
     spark = vectors.sparkSession
     ship(spark)
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("embedding")).where("query_id is not null and embedding is not null")
-    n = asked.count()
-    blocks = -(-n // QUERY_BLOCK)
-    found = []
-    for b in range(max(blocks, 1)):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))) == b).collect()
-        groups: dict[int, tuple[list[int], list[list[float]]]] = {}
-        for r in rows:
-            names, held = groups.setdefault(len(r.embedding), ([], []))
-            names.append(r.query_id)
-            held.append(r.embedding)
-        shared = spark.sparkContext.broadcast([(np.array(i), np.array(v, float)) for i, v in groups.values()])
-        found.append(vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).mapInArrow(_searcher(shared, k, metric, digits), HITS))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionAll(more)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
+    hits = None
+    for first in range(0, blocks, BLOCKS_A_SCAN):
+        held = []
+        for b in range(first, min(first + BLOCKS_A_SCAN, blocks)):
+            groups: dict[int, tuple[list[int], list[list[float]]]] = {}
+            for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect():
+                names, values = groups.setdefault(len(r.embedding), ([], []))
+                names.append(r.query_id)
+                values.append(r.embedding)
+            held.append(spark.sparkContext.broadcast([(np.array(i), np.array(v, float)) for i, v in groups.values()]))
+        own = rows.mapInArrow(_searcher(held, k, metric, digits), HITS)
+        hits = own if hits is None else hits.unionAll(own)
     order = F.col("score").desc() if METRICS[metric][1] else F.col("score").asc()
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))).where(F.col("rank") <= k)
 
 
-def _searcher(shared, k: int, metric: str, digits: int):
+class _Best:
+    """The k best rows of each of some queries, over all batches of a task."""
+
+    def __init__(self, names: np.ndarray, k: int):
+        self.names, self.k = names, k
+        #: What a row must reach to be among a query's k best so far.
+        self.least = np.full(len(names), -np.inf)
+        self.query, self.ids, self.scores = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row per query, a column per id; the greater the better."""
+        n = len(ids)
+        if not n or not self.k:
+            return
+        # A vector that is not a number anywhere is no hit.
+        scores = np.where(np.isnan(scores), -np.inf, scores)
+        reach = np.maximum(self.least, np.partition(scores, n - self.k, axis=1)[:, n - self.k]) if n > self.k else self.least
+        at, column = np.nonzero((scores >= reach[:, None]) & (scores > -np.inf))
+        query, found, values = np.concatenate([self.query, at]), np.concatenate([self.ids, ids[column]]), np.concatenate([self.scores, scores[at, column]])
+        order = np.lexsort((found, -values, query))
+        query, found, values = query[order], found[order], values[order]
+        starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, int)
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+        kept = place < self.k
+        self.query, self.ids, self.scores = query[kept], found[kept], values[kept]
+        last = place == self.k - 1
+        self.least[query[last]] = values[last]
+
+    def batch(self, sign: float) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.names[self.query]), pa.array(self.ids), pa.array(sign * self.scores + 0.0)], names=HITS.names)
+
+
+def _searcher(held: list, k: int, metric: str, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {(b, g): _Best(names, k) for b, shared in enumerate(held) for g, (names, _) in enumerate(shared.value)}
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
-            sizes = np.array([-1 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()])
-            for ids, queries in shared.value:
+            sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+            for (b, g), own in best.items():
+                queries = held[b].value[g][1]
                 same = np.flatnonzero(sizes == queries.shape[1]) if queries.shape[1] else np.zeros(0, int)
                 matrix = np.array(lists.take(pa.array(same)).to_pylist(), float).reshape(len(same), queries.shape[1])
-                values = np.round(_scores(matrix, queries, metric), digits)
-                places = names[same]
+                values, places = np.round(_scores(matrix, queries, metric), digits), names[same]
                 if metric != "l2" and len(same) < len(sizes):
-                    values = np.concatenate([values, np.zeros((len(sizes) - len(same), len(ids)))])
+                    values = np.concatenate([values, np.zeros((len(sizes) - len(same), len(own.names)))])
                     places = np.concatenate([places, names[np.setdiff1d(np.arange(len(sizes)), same)]])
-                out = []
-                for q, name in enumerate(ids):
-                    order = np.lexsort((places, -values[:, q]))[:k]
-                    out.append(pd.DataFrame({"query_id": name, "vec_id": places[order], "score": values[order, q] if metric != "l2" else -values[order, q]}))
-                if out:
-                    table = pd.concat(out)
-                    yield pa.RecordBatch.from_pandas(table, preserve_index=False).cast(pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+                own.add(places, values.T)
+        for own in best.values():
+            yield own.batch(-1.0 if metric == "l2" else 1.0)
 
     return run
