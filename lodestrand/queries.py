@@ -17,6 +17,7 @@ from lodestrand.operators import chunking, fusion, lexical, manifests, syntax, v
 from lodestrand.operators.block_index import BlockIndex
 from lodestrand.operators.ivf_pq import IvfPq
 from lodestrand.operators.lexical_index import LexicalIndex
+from lodestrand.operators.neighbour_graph import NeighbourGraph
 from lodestrand.plans.hybrid import hybrid_documents
 from lodestrand.sources.scratch import files_of, scratch
 
@@ -499,6 +500,13 @@ def ivf_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(asked, K, index.probes_for(asked, 0.97, K), rerank=20)
 
 
+@query()
+def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A beam search over the graph of nearest neighbours; pytest measures the recall."""
+    vectors, asked = _asked_vectors(spark, sf_dir)
+    return NeighbourGraph.build(vectors, scratch(spark, "graph")).search(asked, K)
+
+
 @query(
     "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS same, 0.0 AS shorter, 0.0 AS zero, 0.0 AS missing FROM embeddings"
 )
