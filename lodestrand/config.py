@@ -98,6 +98,8 @@ class Settings:
     embedding_dimension: int = 384
     embedding_rpm: int = 400
     embedding_tpm: int = 1_600_000
+    vector_url: str | None = None
+    vector_token: str | None = None
     batch_size: int = 32
     concurrency: int = 32
     chunk_size: int = 512
@@ -117,9 +119,10 @@ class Settings:
 
     @classmethod
     def from_environment(cls, environment: Mapping[str, str] | None = None) -> Settings:
-        """Semantic search is on only if EMBEDDING_URL is there and not empty."""
+        """Semantic search is on only if EMBEDDING_URL is there and not empty; vectors are in a service only if MILVUS_URL is."""
         env = os.environ if environment is None else environment
         given: dict[str, object] = {"embedding_url": env.get("EMBEDDING_URL") or None, "embedding_api_key": env.get("EMBEDDING_API_KEY") or None}
+        given |= {"vector_url": env.get("MILVUS_URL") or None, "vector_token": env.get("MILVUS_TOKEN") or None}
         if env.get("EMBEDDING_MODEL"):
             given["embedding_model"] = env["EMBEDDING_MODEL"]
         numbers = {

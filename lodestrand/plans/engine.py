@@ -15,6 +15,7 @@ from lodestrand.operators import chunking, fusion, manifests, vector_search
 from lodestrand.operators.lexical_index import LexicalIndex
 from lodestrand.plans import segments
 from lodestrand.sources import files as F_
+from lodestrand.sources import remote
 from lodestrand.sources import store as S
 from lodestrand.sources.embedding import Embedder, HttpEmbedder, embed_chunks
 
@@ -58,6 +59,8 @@ class Engine:
     def __init__(self, spark: SparkSession, workspace: str, settings: Settings | None = None, embedder: Embedder | None = None, home: str | None = None, lock_seconds: float = S.LOCK_SECONDS):
         self.spark, self.settings, self.home, self.lock_seconds = spark, settings or Settings(), home, lock_seconds
         self.store = S.Store(spark, workspace)
+        #: Where vectors are, if not in the workspace.
+        self.service = remote.VectorService(self.settings.vector_url, self.settings.vector_token) if self.settings.vector_url else None
         self.embedder = embedder or (HttpEmbedder.of(self.settings, spark.sparkContext.defaultParallelism) if self.settings.embedding_url else None)
 
     @classmethod
@@ -91,6 +94,7 @@ class Engine:
             "ignore_patterns": list(self.settings.ignore_patterns),
             "embedder": self.embedder.name if self.embedder else None,
             "dimension": self.embedder.dimension if self.embedder else None,
+            "service": self.settings.vector_url,
         }
 
     # Indexing
@@ -145,11 +149,14 @@ class Engine:
             tables |= segments.lexical_tables(chunks)
             n_vectors = 0
             if self.embedder is not None:
-                tables["vectors"] = embed_chunks(chunks, self.embedder)
                 n_vectors = n_chunks
+                if self.service is None:
+                    tables["vectors"] = embed_chunks(chunks, self.embedder)
             facts = {"path": root, "inputs": self.inputs(), "counts": {"files": len(paths), "chunks": n_chunks}}
             stale = None if changes is None else manifests.stale(changes)
             gone = None if stale is None else segments.gone_tables(collection, stale)
+            if self.embedder is not None and self.service is not None:
+                self._send(collection.name, chunks, stale)
             collection.append(tables, stale, facts, segments.WRITERS, segments.DERIVED, gone)
             # The chunks that count are a sum that the index keeps.
             collection.header["counts"]["chunks"] = segments.sums(collection).corpus[0]
@@ -160,6 +167,15 @@ class Engine:
         result = IndexResult(len(paths), n_chunks, n_vectors, n_vectors, self.embedder is None, 0, "indexed", warnings)
         return result, IndexStatus(len(paths), len(paths), n_chunks, n_vectors, n_vectors, COMPLETED)
 
+    def _send(self, name: str, chunks: DataFrame, stale: DataFrame | None) -> None:
+        """Bring the service's collection up to date; a run that fails after this is done again over the same files, as the manifest is not written yet."""
+        if stale is None or not self.service.has(name):
+            self.service.drop(name)
+            self.service.create(name, self.embedder.dimension)
+        paths = chunks.select("relative_path").distinct()
+        remote.delete_paths(paths if stale is None else paths.union(stale.select("relative_path")).distinct(), self.service, name)
+        remote.append(embed_chunks(chunks, self.embedder), self.service, name)
+
     # Search
 
     def search(self, path: str, query: str, limit: int = DEFAULT_LIMIT, extensions: Iterable[str] = (), prefilter: bool = False, strict: bool = False, dedupe: bool = True) -> DataFrame:
@@ -177,7 +193,11 @@ class Engine:
         empty = self.spark.createDataFrame([], chunking.CHUNK).withColumn("score", F.lit(0.0))
         if self.embedder is not None:
             asked = self.embedder.embed([query])[0]
-            legs.append(self._semantic(vectors, asked, limit, wanted if prefilter else []) if vectors is not None else empty)
+            if self.service is not None:
+                # The service knows no extensions: its best are filtered after they are found.
+                legs.append(remote.top_k(self.spark, self.service, collection.name, asked, limit))
+            else:
+                legs.append(self._semantic(vectors, asked, limit, wanted if prefilter else []) if vectors is not None else empty)
         else:
             legs.append(empty)
         legs.append(self._lexical(collection, chunks, query, limit, wanted if prefilter else [], strict) if chunks is not None else empty)
@@ -215,6 +235,8 @@ class Engine:
         """Remove the path's tables, its manifest and its status."""
         collection = self._collection(self._absolute(path))
         collection.drop()
+        if self.service is not None:
+            self.service.drop(collection.name)
         self.store.delete(f"{collection.name}.status.json")
 
     def list_collections(self) -> DataFrame:
@@ -237,6 +259,7 @@ class Engine:
         if not name or "/" in name or name.startswith("."):
             raise ValueError(f"no name of a collection: {name!r}")
         self.store.delete(f"{name}.status.json")
-        return S.Collection(self.store, name).drop()
+        gone = self.service.drop(name) if self.service is not None else False
+        return S.Collection(self.store, name).drop() or gone
 
 
