@@ -140,10 +140,12 @@ class Engine:
                     status = IndexStatus(len(paths), len(paths), counts["chunks"], 0, 0, COMPLETED)
                     return IndexResult(len(paths), 0, 0, 0, self.embedder is None, 0, "already up to date"), status
             work = files if changes is None else manifests.changed(files, changes)
+            self._save_status(collection, IndexStatus(total_files=len(paths), status=INDEXING))
             warnings = [r.relative_path for r in F_.unreadable(work).orderBy("relative_path").collect()]
             chunks = chunking.split(F_.texts(work), self.settings.split).persist()
             held.append(chunks)
             n_chunks = chunks.count()
+            self._save_status(collection, IndexStatus(len(paths), len(paths), n_chunks, status=INDEXING))
             # Only new rows are written; those of changed and deleted files become void by their paths.
             tables = {"manifest": current if changes is None else manifests.changed(current, changes), "chunks": chunks}
             tables |= segments.lexical_tables(chunks)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lodestrand.config import PIPELINE, SplitConfig
 from lodestrand.operators import chunking
@@ -28,6 +28,33 @@ def newest(batch: DataFrame) -> DataFrame:
     return last.select("relative_path", "at.version", "at.sha256", F.col("row.content").alias("content"))
 
 
+OBSERVED = "taken_up"
+COUNTERS = ("batches", "rows", "texts", "bytes")
+
+
+class _Listener(StreamingQueryListener):
+    """Adds up what each batch has observed while it ran, without a job of its own, and writes the sums to a small file that any process may read."""
+
+    def __init__(self, store: Store, path: str):
+        self.store, self.path, self.queries = store, path, set()
+        self.sums = {**dict.fromkeys(COUNTERS, 0), **(store.load(path) or {})}
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        found = event.progress.observedMetrics.get(OBSERVED)
+        if str(event.progress.id) in self.queries and found is not None and event.progress.batchId > self.sums.get("batch", -1):
+            self.sums |= {"batch": event.progress.batchId, "batches": self.sums["batches"] + 1} | {c: self.sums[c] + int(found[c] or 0) for c in COUNTERS[1:]}
+            self.store.save(self.path, self.sums)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+
 class StreamIndex:
     """Merges versions (relative_path, content, version) into a collection; a null content deletes."""
 
@@ -35,6 +62,7 @@ class StreamIndex:
         self.spark, self.split, self.embedder, self.lock_seconds = spark, split, embedder, lock_seconds
         self.store = Store(spark, workspace)
         self.collection = Collection(self.store, name)
+        self._listener: _Listener | None = None
 
     def merge(self, batch: DataFrame, number: int) -> None:
         """Take up a micro-batch, unless it has been. Only one run at a time may change a collection; Lost: another does now."""
@@ -78,10 +106,32 @@ class StreamIndex:
                 chunks.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Follow a stream of versions; once: what is there now, and then end."""
+        """Follow a stream of versions; once: what is there now, and then end. progress() tells meanwhile what has been taken up."""
+        counted = stream.observe(OBSERVED, F.count("*").alias("rows"), F.count("content").alias("texts"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))
+        if self._listener is None:
+            self._listener = _Listener(self.store, self.status_path)
+            self.spark.streams.addListener(self._listener)
+        query = self._started(counted, checkpoint, once)
+        self._listener.queries.add(str(query.id))
+        return query
+
+    def _started(self, stream: DataFrame, checkpoint: str, once: bool) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer).start()
 
+    @property
+    def status_path(self) -> str:
+        return f"{self.collection.name}.stream.json"
+
+    def progress(self) -> dict:
+        """batches, rows, texts and bytes that the stream has brought since it was first started, as last written by the listener."""
+        return self.store.load(self.status_path) or dict.fromkeys(COUNTERS, 0)
+
+    def stop_listening(self) -> None:
+        if self._listener is not None:
+            self.spark.streams.removeListener(self._listener)
+            self._listener = None
+
     def chunks(self) -> DataFrame | None:
         self.collection.refresh()
         return self.collection.table("chunks")

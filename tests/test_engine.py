@@ -349,3 +349,37 @@ def test_sums_after_deletes_and_compaction(spark, tmp_path, monkeypatch):
         put(root, f"f{step + 1}.yml", f"late common {step}")
         put(root, f"g{step}.yml", "late common late")
     assert seen == {1, 2}
+
+
+def test_progress_of_a_live_stream(spark, tmp_path):
+    """Counters rise from batch to batch while the stream lives, and another reader of the workspace sees them."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    index = StreamIndex(spark, str(tmp_path / "w"), "s")
+    assert index.progress()["rows"] == 0
+    query = index.start(spark.readStream.schema(VERSIONS).option("maxFilesPerTrigger", 1).json(str(inbox)), str(tmp_path / "c"))
+    seen = []
+    try:
+        for k in range(3):
+            (inbox / f"{k}.json").write_text("".join(json.dumps({"relative_path": f"f{k}{j}.yml", "content": None if j == 2 else "text", "version": k}) + "\n" for j in range(3)))
+            for _ in range(300):
+                if index.progress()["rows"] == 3 * (k + 1):
+                    break
+                time.sleep(0.2)
+            seen.append(StreamIndex(spark, str(tmp_path / "w"), "s").progress())
+            assert query.isActive
+    finally:
+        query.stop()
+        index.stop_listening()
+    assert [(x["batches"], x["rows"], x["texts"], x["bytes"]) for x in seen] == [(1, 3, 2, 8), (2, 6, 4, 16), (3, 9, 6, 24)]
+
+
+def test_status_while_a_run_lives(spark, tmp_path, monkeypatch):
+    root = tmp_path / "r"
+    tree(root, **{f"f{k}.yml": f"word{k}" for k in range(4)})
+    engine = Engine(spark, str(tmp_path / "w"), home=str(tmp_path))
+    states = []
+    save = engine._save_status
+    monkeypatch.setattr(engine, "_save_status", lambda collection, status: (save(collection, status), states.append(engine.status(str(root)))))
+    engine.index(str(root))
+    assert [(s.status, s.total_files, s.processed_files, s.total_chunks) for s in states] == [("indexing", 0, 0, 0), ("indexing", 4, 0, 0), ("indexing", 4, 4, 4), ("completed", 4, 4, 4)]
