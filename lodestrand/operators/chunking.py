@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,18 +153,17 @@ def pack_lines(content: str, most: int, overlap: int) -> Iterator[tuple[int, int
 
 
 def refine(chunks: DataFrame, most: int, overlap: int = 0) -> DataFrame:
-    """Chunks of more than `most` bytes cut at line ends; the others as they are."""
+    """Chunks of more than `most` bytes cut at line ends; the others as they are, without becoming Python objects."""
     ship(chunks.sparkSession)
     names = COLUMNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            small = pc.less_equal(pc.fill_null(pc.binary_length(batch.column(1)), 0), most)
+            yield pa.RecordBatch.from_arrays(batch.filter(small).columns, names=names)
+            batch = batch.filter(pc.invert(small))
             own: list[tuple] = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
-                chunk_id, content, path, relative, start, end, language = row
-                if content is None or len(content) <= most and len(content.encode()) <= most:
-                    own.append(row)
-                    continue
+            for chunk_id, content, path, relative, start, _, language in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True):
                 for k, (a, b, text) in enumerate(pack_lines(content, most, overlap)):
                     last = a + 1 if not text else b
                     own.append((f"{chunk_id}_{k}", text, path, relative, start + a, start + last - 1, language))

@@ -1,16 +1,19 @@
 """Lines, windows, headings and refinement against plain loops."""
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrand.config import PIPELINE, STANDALONE, Settings
+from lodestrand import queries
+from lodestrand.config import PIPELINE, STANDALONE, SUPPORTED_EXTENSIONS, Settings
 from lodestrand.functions import ids
 from lodestrand.functions import text as X
 from lodestrand.functions import vectors as V
 from lodestrand.operators import chunking
+from tests.conftest import DATA
 
 EDGES = ["", "\n", "a", "a\n", "a\r\nb", "a\r", "\r\n", "\n\n", "a\n\nb\n", " \n\t\n", "x\r\r\ny"]
 
@@ -118,6 +121,44 @@ def test_split_dispatch(spark):
     assert {(r.relative_path, r.language) for r in got} == {("a.py", "python"), ("c.yml", "yaml"), ("k.kt", "kt"), ("s.RST", "markdown")}
 
 
+def split_loop(path, text, most=512):
+    """A file's chunks (id, content, start, end), for what no syntax splitter takes."""
+    name = path.rsplit("/", 1)[-1]
+    ext = name.rsplit(".", 1)[1].lower() if "." in name else ""
+    if not text or ext not in SUPPORTED_EXTENSIONS:
+        return []
+    lines, size = lines_of(text), most // 80
+    if ext in ("md", "rst"):
+        starts = [k for k, x in enumerate(lines) if k == 0 or re.match("#+ ", x)]
+        found, n = [], 0
+        for a, b in zip(starts, [*starts[1:], len(lines)]):
+            content = "\n".join(lines[a:b])
+            if content.strip():
+                inner = lines_of(content)
+                if len(inner) <= size:
+                    found.append((f"{path}:md:{n}", content, a + 1, b))
+                else:
+                    found += [(f"{path}:md:{n}:{k}", t, a + s, min(a + e, b)) for k, (s, e, t) in enumerate(windows_of(inner, size, 0))]
+                n += 1
+    else:
+        found = [(f"{path}:lines:{k}", t, s, e) for k, (s, e, t) in enumerate(windows_of(lines, size, 0))]
+    out = []
+    for chunk_id, content, start, end in found:
+        if len(content.encode()) <= most:
+            out.append((chunk_id, content, start, end))
+        else:
+            out += [(f"{chunk_id}_{k}", t, start + a, start + b - 1) for k, (a, b, t) in enumerate(refine_loop(content, most, 0))]
+    return out
+
+
+def test_split_files_equals_loop(spark):
+    """The query over all documents: every file that is no source code, by loops."""
+    got = [r for r in queries.split_files(spark, DATA).collect() if r.language not in ("python", "rust")]
+    want = [x for r in queries.files(spark, DATA).collect() if not r.relative_path.lower().endswith((".py", ".rs")) for x in split_loop(r.relative_path, r.content)]
+    assert sorted((r.chunk_id, r.content, r.start_line, r.end_line) for r in got) == sorted(want) and len(want) > 300
+    assert {r.language for r in got} == {"markdown", "yaml", "json"}
+
+
 def test_presets():
     assert (PIPELINE.max_chunk_bytes, PIPELINE.overlap_lines, PIPELINE.lines_per_chunk) == (512, 0, 6)
     assert Settings().split == PIPELINE
