@@ -93,3 +93,9 @@ def terms(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """A fourth of the bytes, rounded down, is taken for a text's tokens."""
     return F.floor(F.octet_length(text) / 4).cast("long")
+
+
+def metadata_field(metadata: Column, name: str) -> Column:
+    """A field of a row's JSON metadata: line numbers as numbers, 0 where they lack or are none, all others as text, empty where they lack."""
+    found = F.get_json_object(metadata, f"$.{name}")
+    return F.coalesce(found.try_cast("long"), F.lit(0)) if name.endswith("_line") else F.coalesce(found, F.lit(""))

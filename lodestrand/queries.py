@@ -110,13 +110,8 @@ def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coalesce(TRY_CAST(json_extract_string(props, '$.start_line') AS BIGINT), 0) AS start_line FROM events"
 )
 def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    get = lambda name: F.get_json_object("props", f"$.{name}")
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.coalesce(get("k"), F.lit("")).alias("k"),
-        F.coalesce(get("relative_path"), F.lit("")).alias("relative_path"),
-        F.coalesce(get("start_line").try_cast("long"), F.lit(0)).alias("start_line"),
-    )
+    names = ("k", "relative_path", "start_line")
+    return table(spark, sf_dir, "events").select("event_id", *(X.metadata_field(F.col("props"), n).alias(n) for n in names))
 
 
 @query("SELECT source, CAST(sum(strlen(text) // 4) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source")
