@@ -8,7 +8,7 @@ import time
 import pytest
 
 from lodestrand.config import Settings
-from lodestrand.operators import lexical, manifests
+from lodestrand.operators import lexical, lexical_index, manifests
 from lodestrand.plans import segments
 from lodestrand.plans.engine import Busy, Engine
 from lodestrand.sources import files as files_of
@@ -17,6 +17,12 @@ from lodestrand.sources.embedding import HashedEmbedder, HttpEmbedder, Throttle,
 from lodestrand.streaming.incremental import StreamIndex
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    """Small indexes are written many times here: 4 folders each instead of 64."""
+    monkeypatch.setattr(lexical_index, "BUCKETS", 4)
+
+
 def tree(root, **texts):
     for name, text in texts.items():
         put(root, name, text)
