@@ -34,6 +34,20 @@ def test_no_declaration_and_broken_source():
     assert [broken[a:b] for a, b in spans(broken, "python")] == ["def f(:\n    x = 1", "@a\ndef ok():\n    return ("]
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("Des " * 20_000 + "\n\ndef f():\n    return 1\n", ["def f():\n    return 1"]),
+        ("x = " + " + ".join(["1"] * 3000) + "\n\n\ndef f():\n    return 1\n", ["def f():\n    return 1"]),
+        ("x = 1\rdef f():\r    return 'é'\r\rclass A:\r    pass\r", ["def f():\r    return 'é'", "class A:\r    pass"]),
+        ("x = 1\r\n@d\r\ndef f():\r\n    return 'é'; y = 2\r\n", ["@d\r\ndef f():\r\n    return 'é'; y = 2"]),
+    ],
+    ids=["parser stack", "deep tree", "carriage returns", "both"],
+)
+def test_python_that_parser_or_walk_cannot_take(source, want):
+    assert [source[a:b] for a, b in spans(source, "python")] == want
+
+
 def test_chunks(spark):
     rows = [("s.rs", "\nfn hello() {\n}\n\nfn bye() {\n}\n"), ("e.rs", ""), ("n.rs", None), ("x.txt", "fn a() {}")]
     got = syntax_chunks(spark.createDataFrame(rows, "relative_path string, content string")).orderBy("start_line").collect()
