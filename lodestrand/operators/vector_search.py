@@ -23,6 +23,8 @@ METRICS = {"cosine": (V.cosine, True), "ip": (V.inner_product, True), "l2": (V.l
 #: Queries of a block, and blocks that one scan of the vectors takes.
 QUERY_BLOCK = 2048
 BLOCKS_A_SCAN = 16
+#: Rows whose scores with a block of queries a task holds at once.
+ROWS_AT_ONCE = 512
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", vector_id: str = "vec_id", vector: str = "embedding", digits: int | None = 6) -> DataFrame:
@@ -110,15 +112,22 @@ class _Best:
 def _searcher(held: list, k: int, metric: str, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {(b, g): _Best(names, k) for b, shared in enumerate(held) for g, (names, _) in enumerate(shared.value)}
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             names = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
             sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+            # A length's rows become a matrix once, for all blocks of queries.
+            matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for (b, g), own in best.items():
                 queries = held[b].value[g][1]
-                same = np.flatnonzero(sizes == queries.shape[1]) if queries.shape[1] else np.zeros(0, int)
-                matrix = np.array(lists.take(pa.array(same)).to_pylist(), float).reshape(len(same), queries.shape[1])
-                values, places = np.round(_scores(matrix, queries, metric), digits), names[same]
+                n = queries.shape[1]
+                if n not in matrices:
+                    same = np.flatnonzero(sizes == n) if n else np.zeros(0, int)
+                    flat = lists.take(pa.array(same)).flatten().to_numpy(zero_copy_only=False)
+                    matrices[n] = same, flat.astype(float).reshape(len(same), n)
+                same, matrix = matrices[n]
+                values, places = _scores(matrix, queries, metric), names[same]
+                np.round(values, digits, out=values)
                 if metric != "l2" and len(same) < len(sizes):
                     values = np.concatenate([values, np.zeros((len(sizes) - len(same), len(own.names)))])
                     places = np.concatenate([places, names[np.setdiff1d(np.arange(len(sizes)), same)]])

@@ -32,3 +32,25 @@ def test_fusion(spark):
     assert [r.chunk_id for r in fusion.fuse_chunks(semantic, lexical, 9, [".RS"]).collect()] == ["a"]
     assert len(fusion.fuse_chunks(semantic, lexical, 9, dedupe=False).collect()) == 4
     assert chunking.COLUMNS == fusion.CHUNK
+
+
+def test_scores_of_few_rows_are_held_at_once(monkeypatch):
+    """A large Arrow batch is scored in parts of bounded size; the hits are those of one product."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestrand.operators import vector_search
+
+    rng = np.random.default_rng(3)
+    rows, queries = rng.standard_normal((5000, 8)), rng.standard_normal((4, 8))
+    held, seen, scores = [SimpleNamespace(value=[(np.arange(4), queries)])], [], vector_search._scores
+    monkeypatch.setattr(vector_search, "_scores", lambda m, q, metric: seen.append(len(m)) or scores(m, q, metric))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array(list(rows))], names=["vec_id", "embedding"])
+    (own,) = vector_search._searcher(held, 3, "cosine", 6)(iter([batch]))
+    want = np.round(scores(rows, queries, "cosine"), 6)
+    assert sum(seen) == 5000 and max(seen) <= 512
+    for q in range(4):
+        best = np.lexsort((np.arange(5000), -want[:, q]))[:3]
+        assert [i for i, x in zip(own.column(1).to_pylist(), own.column(0).to_pylist(), strict=True) if x == q] == best.tolist()
