@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,9 @@ CHUNK = T.StructType(
     ]
 )
 COLUMNS = CHUNK.names
+#: What refinement turns into Python objects at once: bytes of chunks (or one chunk), and pieces.
+REFINED_BYTES = 1 << 20
+PIECES_AT_ONCE = 4096
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -152,6 +156,26 @@ def pack_lines(content: str, most: int, overlap: int) -> Iterator[tuple[int, int
         first = end - overlap if end - overlap > first else end
 
 
+def _refined(batch: pa.RecordBatch, most: int, overlap: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a batch's chunks, of which no more than PIECES_AT_ONCE are held."""
+    kinds = [batch.schema.field(k).type for k in range(len(names))]
+    own: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        columns = list(zip(*own, strict=True))
+        own.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+
+    for chunk_id, content, path, relative, start, _, language in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True):
+        for k, (a, b, text) in enumerate(pack_lines(content, most, overlap)):
+            last = a + 1 if not text else b
+            own.append((f"{chunk_id}_{k}", text, path, relative, start + a, start + last - 1, language))
+            if len(own) >= PIECES_AT_ONCE:
+                yield made()
+    if own:
+        yield made()
+
+
 def refine(chunks: DataFrame, most: int, overlap: int = 0) -> DataFrame:
     """Chunks of more than `most` bytes cut at line ends; the others as they are, without becoming Python objects."""
     ship(chunks.sparkSession)
@@ -161,15 +185,13 @@ def refine(chunks: DataFrame, most: int, overlap: int = 0) -> DataFrame:
         for batch in batches:
             small = pc.less_equal(pc.fill_null(pc.binary_length(batch.column(1)), 0), most)
             yield pa.RecordBatch.from_arrays(batch.filter(small).columns, names=names)
-            batch = batch.filter(pc.invert(small))
-            own: list[tuple] = []
-            for chunk_id, content, path, relative, start, _, language in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True):
-                for k, (a, b, text) in enumerate(pack_lines(content, most, overlap)):
-                    last = a + 1 if not text else b
-                    own.append((f"{chunk_id}_{k}", text, path, relative, start + a, start + last - 1, language))
-            columns = list(zip(*own)) or [[]] * len(names)
-            kinds = [batch.schema.field(k).type for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds)], names=names)
+            large = batch.filter(pc.invert(small))
+            sizes = np.cumsum(pc.binary_length(large.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < large.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + REFINED_BYTES, "right")))
+                yield from _refined(large.slice(at, end - at), most, overlap, names)
+                at = end
 
     return chunks.select(COLUMNS).mapInArrow(run, CHUNK)
 

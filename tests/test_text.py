@@ -194,3 +194,17 @@ def test_vectors(spark):
     assert abs(get(V.cosine, [1.0, 2.0], [1.0, 2.0]) - 1) < 1e-6 and get(V.cosine, [1.0, 0.0], [0.0, 1.0]) == 0
     assert get(V.cosine, [], []) == 0 and get(V.cosine, [1.0], [1.0, 2.0]) == 0 and get(V.cosine, [0.0], [1.0]) == 0
     assert get(V.l2, [0.0, 3.0], [4.0, 0.0]) == 5 and get(V.l2, [1.0], [1.0, 2.0]) is None and get(V.inner_product, [1.0, 2.0], [3.0, 4.0]) == 11
+
+
+def test_refinement_holds_few_pieces():
+    """A batch's pieces leave in parts of a bounded size, and are those of a loop."""
+    import pyarrow as pa
+
+    from lodestrand.operators import chunking
+
+    text = "\n".join(f"line {k} of many" for k in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"chunk_id": ["a", "b"], "content": [text, "x y\n" * 3000], "file_path": ["", ""], "relative_path": ["a.yml", "b.yml"], "start_line": pa.array([1, 5], pa.int32()), "end_line": pa.array([20_000, 3004], pa.int32()), "language": ["yaml", "yaml"]})
+    parts = list(chunking._refined(batch, 64, 1, chunking.COLUMNS))
+    assert len(parts) > 1 and max(p.num_rows for p in parts) <= chunking.PIECES_AT_ONCE
+    got = [x for p in parts for x in p.column(1).to_pylist()]
+    assert got == [x[2] for t in batch.column(1).to_pylist() for x in chunking.pack_lines(t, 64, 1)]
