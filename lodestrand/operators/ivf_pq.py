@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.operators.vector_search import Best
 from lodestrand.shipping import ship
 
 #: Rows that centres and code books are fitted on, about; rounds of k-means.
@@ -38,6 +39,8 @@ CODES = 256
 #: Rows of a list, and queries, that a task looks at together; larger lists and more queries are split.
 LIST_ROWS = 32_768
 QUERY_ROWS = 4096
+#: Pairs of a query and a row whose distances a task holds at once.
+PAIRS = 1 << 20
 SEED = 5
 #: By how much squared distances may lie beyond a bound, for rounded scores.
 MARGIN = 4e-6
@@ -101,6 +104,11 @@ class Model:
         """The nearest cells of each row, in order."""
         return np.argsort(_distances(rows, self.centres), axis=1, kind="stable")[:, :cells]
 
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """What the codes of a cell's rows stand for: products with it give the distances of approximate() for many queries."""
+        own = self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)
+        return own[:, : self.centres.shape[1]] + self.centres[cell]
+
     def approximate(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances from a query to the coded rows of a cell: a table of the query's distances to all code words, summed by code."""
         piece = self._pieces((query - self.centres[cell])[None], len(self.books))[0]
@@ -205,17 +213,25 @@ class IvfPq:
                 cell, ids = int(rows["cell"].iloc[0]), rows["id"].to_numpy()
                 codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
                 errors, vectors = rows["error"].to_numpy().astype(float) + 1e-6, np.stack(rows["vector"])
-                for query_id, query in zip(asks["query_id"], asks["vector"], strict=True):
-                    query = np.asarray(query)
-                    near = np.sqrt(shared.value.approximate(query, cell, codes))
+                made = shared.value.decode(cell, codes)
+                squares, m = (made**2).sum(axis=1), min(k, len(rows))
+                names, asked_for = asks["query_id"].to_numpy(), np.stack(asks["vector"])
+                step = max(1, PAIRS // len(rows))
+                for at in range(0, len(names), step):
+                    part = asked_for[at : at + step]
+                    near = np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] - 2 * part @ made.T + squares[None], 0))
                     if rerank is not None:
-                        chosen = np.argsort(near, kind="stable")[: rerank * k]
+                        chosen = np.zeros(near.shape, bool)
+                        np.put_along_axis(chosen, np.argsort(near, axis=1, kind="stable")[:, : rerank * k], True, axis=1)
                     else:
-                        high = np.partition(near + errors, min(k, len(near)) - 1)[min(k, len(near)) - 1]
-                        chosen = np.flatnonzero(np.maximum(near - errors, 0) ** 2 <= high**2 + MARGIN)
-                    scores = np.round((vectors[chosen] * query).sum(axis=1), digits) + 0.0
-                    order = np.lexsort((ids[chosen], -scores))[:k]
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen][order], "score": scores[order]}))
+                        high = np.partition(near + errors, m - 1, axis=1)[:, m - 1 : m]
+                        chosen = np.maximum(near - errors, 0) ** 2 <= high**2 + MARGIN
+                    some = np.flatnonzero(chosen.any(axis=0))
+                    scores = np.round(part @ vectors[some].T, digits) + 0.0
+                    scores[~chosen[:, some]] = -np.inf
+                    best = Best(names[at : at + step], k)
+                    best.add(ids[some], scores)
+                    out.append(pd.DataFrame({"query_id": best.names[best.query], "vec_id": best.ids, "score": best.scores}))
             return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
         keys = ["cell", "part", "block"]

@@ -77,7 +77,7 @@ def batch_top_k(
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))).where(F.col("rank") <= k)
 
 
-class _Best:
+class Best:
     """The k best rows of each of some queries, over all batches of a task."""
 
     def __init__(self, names: np.ndarray, k: int):
@@ -111,7 +111,7 @@ class _Best:
 
 def _searcher(held: list, k: int, metric: str, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {(b, g): _Best(names, k) for b, shared in enumerate(held) for g, (names, _) in enumerate(shared.value)}
+        best = {(b, g): Best(names, k) for b, shared in enumerate(held) for g, (names, _) in enumerate(shared.value)}
         for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             names = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)

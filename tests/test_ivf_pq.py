@@ -89,3 +89,19 @@ def test_odd_rows(spark, tmp_path):
 def test_recall_on_the_tables(spark):
     want = found(queries.cosine_batch_topk(spark, DATA))
     assert recall(found(queries.ivf_pq_topk(spark, DATA)), want) >= 0.9
+
+
+def test_decoded_rows_give_the_distances_of_the_tables():
+    """What a search takes by products for many queries at once is what the tables of one query give."""
+    import numpy as np
+
+    from lodestrand.operators.ivf_pq import Model
+
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((900, 10))
+    model = Model.fit(rows, 4, 4)
+    own, codes, errors = model.encode(rows)
+    for cell in range(len(model.centres)):
+        made = model.decode(cell, codes[own == cell])
+        assert np.allclose(np.linalg.norm(rows[own == cell] - made, axis=1), errors[own == cell])
+        assert np.allclose(((rows[7] - made) ** 2).sum(axis=1), model.approximate(rows[7], cell, codes[own == cell]))
