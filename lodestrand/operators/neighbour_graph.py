@@ -1,13 +1,15 @@
 """A graph of nearest neighbours, made by neighbour descent, and a beam search over it.
 
-Each node (a vector, scaled to length one) has edges to the nearest nodes that were found for it. They begin with what meets in small groups by random
-hyperplanes, and get better by rounds: the nodes that have a node as neighbour, and its neighbours, are likely to be near each other, so they meet in
-that node's group and are compared there. A group is at most 2 * DEGREE + 1 nodes: neighbours, and as many of those that name the node as their hashes choose in
-this round. No step compares all pairs, and work grows with the number of nodes.
+Each node (a vector, scaled to length one; rows with the same vector are one node) has edges to the nearest nodes that were found for it. They begin with what
+meets in groups by random hyperplanes, of some LEAF nodes each, which are compared by matrix products. They get better by rounds: the nodes that have a node as neighbour, and
+its neighbours, are likely to be near each other, so they meet in that node's group and are compared there. A group is at most 2 * DEGREE + 1 nodes: neighbours, and
+as many of those that name the node as their hashes choose in this round. A node's edges are one row, and a group gives only edges that are better than a
+node's worst. No step compares all pairs, and work grows with the number of nodes.
 
-A search keeps a beam of the best nodes seen for each query. In each step the best that have not been looked at give their
-neighbours, which are joined with their vectors and scored exactly, for all queries at once; it ends when no beam has a node left to look at, or after
-MOST_STEPS. All state is tables, written after each round and step to the folder of the index.
+A search keeps a pool of the best nodes met for each query, one row, of which the first are its beam. It begins with a few nodes that lie on the query's sides of the hyperplanes. In each
+step the best of the beam that have not been looked at give their neighbours, and those that have them as neighbours; what a node is asked for is one row, so its vector moves once a step,
+and the queries are broadcast in blocks of a stated size. When no beam has a node left to look at, the recall of some queries is measured against all nodes; while it
+is below RECALL the beam is doubled and the search goes on. All state is tables, written after each round and step to the folder of the index.
 
 Scores are cosines, rounded before they are ranked; ties go by id. Null ids and vectors that are null, zero, or with null or non-finite components are no nodes
 and find nothing; nodes of other lengths than a query's have no score for it; of rows that share an id the first by its vector is the node.
@@ -22,26 +24,45 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.operators import vector_search
 from lodestrand.shipping import ship
 
 DEGREE = 16
 ROUNDS = 6
-#: Random groupings that the edges begin with, and nodes of a group, about; larger groups are compared in pieces of the most.
-FIRST_GROUPINGS = 3
-GROUP = 32
+#: Random groupings that the edges begin with, and nodes of a group, about; larger groups are compared in pieces of twice as many.
+FIRST_GROUPINGS = 12
+LEAF = 1024
+#: Nodes by which the hyperplanes are put in the middle.
+MIDDLE = 2048
+#: Groups of a round larger than this are compared in pieces.
 MOST_GROUP = 128
-#: The best nodes that a query keeps, those that it looks at in a step, where it begins, and steps.
+#: The best nodes that a query looks at, those that it looks at in a step, and where it begins: fixed nodes, groupings, and nodes of a group and batch.
 BEAM = 96
-LOOKED_AT = 16
+LOOKED_AT = 32
 ENTRIES = 64
-MOST_STEPS = 24
+ENTRY_GROUPINGS = 4
+ENTRIES_A_BATCH = 8
+#: Queries of a search that are broadcast at once, those that measure the recall, and the recall to reach.
+QUERIES_AT_ONCE = 32768
+MEASURED = 64
+RECALL = 0.95
 
 NODE = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
-EDGE = T.StructType([T.StructField("id", T.LongType()), T.StructField("near", T.LongType()), T.StructField("score", T.FloatType())])
+EDGES = T.StructType([T.StructField("id", T.LongType()), T.StructField("near", T.ArrayType(T.LongType())), T.StructField("score", T.ArrayType(T.FloatType()))])
+STATE = T.StructType(
+    [
+        T.StructField("query_id", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.LongType())),
+        T.StructField("scores", T.ArrayType(T.DoubleType())),
+        T.StructField("seen", T.ArrayType(T.BooleanType())),
+        T.StructField("look", T.ArrayType(T.LongType())),
+    ]
+)
 
 
 def scaled(vectors: DataFrame, vector_id: str, vector: str) -> DataFrame:
@@ -55,96 +76,314 @@ def scaled(vectors: DataFrame, vector_id: str, vector: str) -> DataFrame:
     return rows.select("id", F.transform(v, lambda x: x / norm).alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def _compared(members: DataFrame, degree: int) -> DataFrame:
-    """Edges from members (group, id, vector): within each group, every node's nearest. A task sorts its rows by group, and holds one group at a time."""
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+def _flat(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before."""
+    if not len(keys[0]):
+        return np.zeros(0, bool)
+    return np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
 
-    def edges(ids: list, vectors: list) -> Iterator[tuple]:
-        for length in {len(x) for x in vectors}:
-            own = np.array([i for i, x in zip(ids, vectors, strict=True) if len(x) == length])
-            matrix = np.array([x for x in vectors if len(x) == length])
-            if len(own) < 2:
-                continue
-            scores = matrix @ matrix.T
-            scores[own[:, None] == own[None]] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :degree]
-            at = np.repeat(np.arange(len(own)), best.shape[1])
-            values = scores[at, best.ravel()]
-            good = values > -np.inf
-            yield own[at[good]], own[best.ravel()[good]], values[good]
+
+def _places(starts: np.ndarray) -> np.ndarray:
+    """Each row's place since the last start."""
+    at = np.arange(len(starts))
+    return at - np.maximum.accumulate(np.where(starts, at, 0)) if len(at) else at
+
+
+def _whole(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the first column, in batches that end where a key ends; most: or after a multiple of so many of a key's rows."""
+    rest = None
+    for part in batches:
+        if not part.num_rows:
+            continue
+        rest = part if rest is None else pa.concat_batches([rest, part])
+        last = int(np.flatnonzero(_starts(rest.column(0).to_numpy()))[-1])
+        if most:
+            last += (rest.num_rows - last) // most * most
+        if last:
+            yield rest.slice(0, last)
+            rest = rest.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _met(members: DataFrame, degree: int, most: int) -> DataFrame:
+    """Edges (id, near, score as lists) from members (group, id, vector, least): within each group, every node's nearest that score more than least. A task sorts its rows
+    by group, and holds a batch and a piece of a group at a time."""
+
+    def nearest(ids: np.ndarray, matrix: np.ndarray, least: np.ndarray) -> tuple:
+        first = np.unique(ids, return_index=True)[1]
+        if len(first) < len(ids):
+            first.sort()
+            ids, matrix, least = ids[first], matrix[first], least[first]
+        scores = matrix @ matrix.T
+        np.fill_diagonal(scores, -np.inf)
+        k = min(degree, len(ids) - 1)
+        best = np.argpartition(scores, len(ids) - k, axis=1)[:, len(ids) - k :] if k else np.zeros((len(ids), 0), int)
+        values = np.take_along_axis(scores, best, 1)
+        good = values > least[:, None]
+        counts = good.sum(1)
+        return ids[counts > 0], counts[counts > 0], ids[best[good]], values[good]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, vectors = None, [], []
-        out: list[tuple] = []
+        for part in _whole(batches, most):
+            group, ids, least = (part.column(k).to_numpy() for k in (0, 1, 3))
+            sizes, flat = _sizes(part.column(2)), _flat(part.column(2))
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            cuts = np.flatnonzero(_places(_starts(group)) % most == 0)
+            out = []
+            for a, b in zip(cuts, np.append(cuts[1:], len(ids)), strict=True):
+                own = sizes[a:b]
+                if own.min() == own.max():
+                    out.append(nearest(ids[a:b], flat[bounds[a] : bounds[b]].reshape(b - a, -1), least[a:b]))
+                    continue
+                for length in np.unique(own):
+                    at = a + np.flatnonzero(own == length)
+                    out.append(nearest(ids[at], flat[bounds[at][:, None] + np.arange(length)], least[at]))
+            names, counts, near, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(counts, pa.array(near, pa.int64())), _lists(counts, pa.array(score.astype(np.float32)))], names=EDGES.names)
+
+    rows = members.select("group", "id", F.col("vector").cast("array<float>").alias("vector"), F.col("least").cast("float").alias("least"))
+    return rows.repartition("group").sortWithinPartitions("group", F.xxhash64("id")).mapInArrow(run, EDGES)
+
+
+def _each(lists: DataFrame) -> DataFrame:
+    """(id, near, score) of lists, an edge a row."""
+    return lists.select("id", F.explode(F.arrays_zip("near", "score")).alias("x")).select("id", "x.near", "x.score")
 
-        def batch() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2].astype(np.float32))], names=EDGE.names)
 
-        for part in batches:
-            flat, bounds = part.column(2).flatten().to_numpy(), part.column(2).offsets.to_numpy() - part.column(2).offsets[0].as_py()
-            for k, (g, i) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                if g != group or len(ids) >= MOST_GROUP:
-                    out.extend(edges(ids, vectors))
-                    group, ids, vectors = g, [], []
-                ids.append(i)
-                vectors.append(flat[bounds[k] : bounds[k + 1]])
-            if len(out) > 500:
-                yield batch()
-        out.extend(edges(ids, vectors))
-        if out:
-            yield batch()
+def _compared(members: DataFrame, degree: int) -> DataFrame:
+    """An edge a row from members (group, id, vector): within each group, every node's nearest."""
+    return _each(_met(members.withColumn("least", F.lit(float("-inf"))), degree, MOST_GROUP))
+
+
+def _nearest(lists: DataFrame, degree: int) -> DataFrame:
+    """One row of each id: the best of all its lists, the nearest first."""
 
-    rows = members.select("group", "id", "vector").repartition("group").sortWithinPartitions("group", F.xxhash64("id"))
-    return rows.mapInArrow(run, EDGE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches):
+            ids = np.repeat(part.column(0).to_numpy(), _sizes(part.column(1)))
+            near, score = _flat(part.column(1)), _flat(part.column(2))
+            order = np.lexsort((-score, near, ids))
+            order = order[_starts(ids[order], near[order])]
+            order = order[np.lexsort((near[order], -score[order], ids[order]))]
+            order = order[_places(_starts(ids[order])) < degree]
+            first = np.flatnonzero(_starts(ids[order]))
+            counts = np.diff(np.append(first, len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), _lists(counts, pa.array(near[order])), _lists(counts, pa.array(score[order]))], names=EDGES.names)
+
+    return lists.repartition("id").sortWithinPartitions("id").mapInArrow(run, EDGES)
 
 
-def _nearest(edges: DataFrame, degree: int) -> DataFrame:
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "near")
-    once = edges.groupBy("id", "near").agg(F.max("score").alias("score"))
-    return once.withColumn("n", F.row_number().over(best)).where(F.col("n") <= degree).select("id", "near", "score")
+@dataclass
+class Planes:
+    """Groupings by the sides of random hyperplanes; each lies in the middle of a sample's nodes of a length."""
 
+    number: int
+    middle: dict[int, np.ndarray]
+
+    @classmethod
+    def fitted(cls, nodes: DataFrame, number: int) -> Planes:
+        own = cls(max(0, math.ceil(math.log2(max(1, number / LEAF)))), {})
+        vectors = [np.array(r.vector) for r in nodes.orderBy(F.xxhash64("id"), "id").limit(MIDDLE).collect()] if own.number else []
+        for length in {len(x) for x in vectors}:
+            matrix = np.array([x for x in vectors if len(x) == length])
+            own.middle[length] = np.stack([np.median(matrix @ own._normals(seed, length), axis=0) for seed in range(FIRST_GROUPINGS)])
+        return own
+
+    def _normals(self, seed: int, length: int) -> np.ndarray:
+        return np.random.default_rng([seed, length]).standard_normal((length, self.number))
+
+    def groups(self, matrix: np.ndarray, seed: int) -> np.ndarray:
+        """The group of each row of a matrix in a grouping; groups of different groupings have different numbers."""
+        if not self.number:
+            return np.full(len(matrix), seed)
+        length = matrix.shape[1]
+        middle = self.middle[length][seed] if length in self.middle else 0.0
+        return ((matrix @ self._normals(seed, length) > middle) @ (1 << np.arange(self.number, dtype=np.int64))) * FIRST_GROUPINGS + seed
+
+    def members(self, nodes: DataFrame) -> DataFrame:
+        """(group, id, vector): each node in all groupings."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                for own, matrix in _by_length(part):
+                    for seed in range(FIRST_GROUPINGS):
+                        yield pa.RecordBatch.from_arrays([pa.array(self.groups(matrix, seed), pa.int64()), own.column(0), own.column(1)], names=["group", "id", "vector"])
+
+        return nodes.mapInArrow(run, T.StructType([T.StructField("group", T.LongType()), *NODE.fields]))
+
+
+def _by_length(nodes: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of each length of a batch (id, vector, ...), and their vectors as a matrix."""
+    sizes = _sizes(nodes.column(1))
+    for length in np.unique(sizes):
+        own = nodes.filter(pa.array(sizes == length)) if (sizes != length).any() else nodes
+        yield own, _flat(own.column(1)).reshape(own.num_rows, length)
+
+
+class Asked:
+    """Queries that are broadcast: their ids in order, and for each length their places and a matrix."""
+
+    def __init__(self, ids: list[int], vectors: list[list[float]], planes: Planes):
+        order = np.argsort(np.array(ids, np.int64))
+        self.ids = np.array(ids, np.int64)[order]
+        lengths = np.array([len(x) for x in vectors], int)[order]
+        #: Each query's row in the matrix of its length, its length, and for each length and grouping the rows of each group.
+        self.row, self.lengths = np.zeros(len(ids), int), lengths
+        self.places: dict[int, np.ndarray] = {}
+        self.matrices: dict[int, np.ndarray] = {}
+        self.groups: dict[int, list[dict[int, np.ndarray]]] = {}
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            self.places[length], self.matrices[length] = at, np.array([vectors[order[k]] for k in at], float)
+            self.row[at] = np.arange(len(at))
+            self.groups[length] = []
+            for seed in range(ENTRY_GROUPINGS):
+                groups = planes.groups(self.matrices[length], seed)
+                self.groups[length].append({g: np.flatnonzero(groups == g) for g in np.unique(groups).tolist()})
+
+
+def _met_states(asked: Asked, place: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """Rows of STATE of what queries, by their places, have met."""
+    order = np.argsort(place, kind="stable")
+    place, ids, scores = place[order], ids[order], scores[order]
+    first = np.flatnonzero(_starts(place))
+    counts = np.diff(np.append(first, len(place)))
+    columns = [pa.array(asked.ids[place[first]]), _lists(counts, pa.array(ids, pa.int64())), _lists(counts, pa.array(scores)), _lists(counts, pa.array(np.zeros(len(ids), bool)))]
+    return pa.RecordBatch.from_arrays([*columns, _lists(np.zeros(len(first), int), pa.array([], pa.int64()))], names=STATE.names)
+
+
+def _first_met(nodes: DataFrame, shared, planes: Planes, entries: set[int], digits: int) -> DataFrame:  # noqa: ANN001
+    """What queries begin with: the fixed nodes, and in each batch of nodes the best of each group that is a query's own."""
 
-def _by_planes(nodes: DataFrame, number: int, seed: int) -> DataFrame:
-    """members of groups by the sides of random hyperplanes."""
-    planes = max(0, math.ceil(math.log2(max(1, number / GROUP))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: Asked = shared.value
+        for part in batches:
+            out = []
+            for own, matrix in _by_length(part):
+                ids, length = own.column(0).to_numpy(), matrix.shape[1]
+                if length not in asked.matrices:
+                    continue
+                queries, places = asked.matrices[length], asked.places[length]
+                at = np.flatnonzero(np.isin(ids, list(entries)))
+                out.append((np.repeat(places, len(at)), np.tile(ids[at], len(places)), (queries @ matrix[at].T).ravel()))
+                for seed, asking in enumerate(asked.groups[length]):
+                    groups = planes.groups(matrix, seed)
+                    order = np.argsort(groups, kind="stable")
+                    for inside in np.split(order, np.flatnonzero(_starts(groups[order]))[1:]):
+                        rows = asking.get(int(groups[inside[0]])) if len(inside) else None
+                        if rows is None:
+                            continue
+                        scores = queries[rows] @ matrix[inside].T
+                        k = min(ENTRIES_A_BATCH, len(inside))
+                        best = np.argpartition(scores, len(inside) - k, axis=1)[:, len(inside) - k :]
+                        out.append((np.repeat(places[rows], k), ids[inside[best]].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+            if out:
+                place, ids, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield _met_states(asked, place, ids, np.round(scores, digits))
+
+    return nodes.mapInArrow(run, STATE)
+
+
+def _scored(asking: DataFrame, shared, digits: int) -> DataFrame:  # noqa: ANN001
+    """What queries meet: the nodes (id, vector, queries) that they ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: Asked = shared.value
         for part in batches:
-            groups = []
-            for x in part.column(1).to_pylist():
-                sides = np.random.default_rng([seed, len(x)]).standard_normal((planes, len(x))) @ np.array(x) > 0 if planes else np.zeros(0)
-                groups.append(int("1" + "".join("1" if s else "0" for s in sides), 2))
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), part.column(0), part.column(1)], names=["group", "id", "vector"])
+            out = []
+            for own, matrix in _by_length(part):
+                length = matrix.shape[1]
+                place = np.searchsorted(asked.ids, _flat(own.column(2)))
+                row = np.repeat(np.arange(own.num_rows), _sizes(own.column(2)))
+                fits = asked.lengths[place] == length
+                place, row = place[fits], row[fits]
+                for a in range(0, len(place), 65536):
+                    p, r = place[a : a + 65536], row[a : a + 65536]
+                    if len(p):
+                        out.append((p, own.column(0).to_numpy()[r], np.einsum("ij,ij->i", asked.matrices[length][asked.row[p]], matrix[r])))
+            if out:
+                place, ids, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield _met_states(asked, place, ids, np.round(scores, digits))
+
+    return asking.select("id", "vector", "queries").mapInArrow(run, STATE)
+
+
+def _pooled(states: DataFrame, beam: int, looked_at: int) -> DataFrame:
+    """One row of each query: the best 2 * beam nodes that it has met, and those of its beam that it looks at next, which are seen by then."""
 
-    return nodes.mapInArrow(run, T.StructType([T.StructField("group", T.LongType()), *NODE.fields]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches):
+            query = np.repeat(part.column(0).to_numpy(), _sizes(part.column(1)))
+            ids, scores, seen = (_flat(part.column(k)) for k in (1, 2, 3))
+            order = np.lexsort((~seen, ids, query))
+            order = order[_starts(query[order], ids[order])]
+            order = order[np.lexsort((ids[order], -scores[order], query[order]))]
+            place = _places(_starts(query[order]))
+            order, place = order[place < 2 * beam], place[place < 2 * beam]
+            query, ids, scores, seen = query[order], ids[order], scores[order], seen[order].copy()
+            # Those of the beam that are not seen, counted from each query's first.
+            starts, fresh = _starts(query), ~seen & (place < beam)
+            before = np.cumsum(fresh) - fresh
+            look = fresh & (before - np.maximum.accumulate(np.where(starts, before, 0)) < looked_at)
+            seen |= look
+            first = np.flatnonzero(starts)
+            counts = np.diff(np.append(first, len(query)))
+            columns = [pa.array(query[first]), *(_lists(counts, pa.array(x)) for x in (ids, scores, seen))]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(np.add.reduceat(look.astype(int), first), pa.array(ids[look]))], names=STATE.names)
+
+    return states.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, STATE)
 
 
 @dataclass
 class NeighbourGraph:
     path: str
+    #: (id, vector) of the different vectors, (id, copy) of all rows, with the node that stands for them, and nodes' edges as lists.
     nodes: DataFrame
-    edges: DataFrame
+    copies: DataFrame
+    lists: DataFrame
+    planes: Planes
+
+    @property
+    def edges(self) -> DataFrame:
+        return _each(self.lists)
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, vector_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, rounds: int = ROUNDS) -> NeighbourGraph:
         spark = vectors.sparkSession
         ship(spark)
-        scaled(vectors, vector_id, vector).write.parquet(f"{path}/nodes")
-        nodes = spark.read.schema(NODE).parquet(f"{path}/nodes")
-        number = nodes.count()
-        found = None
-        for seed in range(FIRST_GROUPINGS):
-            own = _compared(_by_planes(nodes, number, seed), degree)
-            found = own if found is None else found.unionAll(own)
-        edges = cls._kept(spark, _nearest(found, degree), f"{path}/edges-0")
+        # What is the same vector is one node, by the least id.
+        rows = cls._kept(spark, scaled(vectors, vector_id, vector), f"{path}/rows")
+        nodes = cls._kept(spark, rows.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector"), f"{path}/nodes")
+        copies = cls._kept(spark, rows.join(nodes.withColumnRenamed("id", "node"), "vector").select(F.col("node").alias("id"), F.col("id").alias("copy")), f"{path}/copies")
+        planes = Planes.fitted(nodes, nodes.count())
+        any_score = F.lit(float("-inf"))
+        lists = cls._kept(spark, _nearest(_met(planes.members(nodes).withColumn("least", any_score), degree, 2 * LEAF), degree), f"{path}/edges-0")
         for k in range(1, rounds + 1):
-            # Those that name a node: as many as it has neighbours, by a hash that changes with the round.
-            chance = Window.partitionBy("near").orderBy(F.xxhash64("id", F.lit(k)), "id")
-            named = edges.withColumn("n", F.row_number().over(chance)).where(F.col("n") <= degree).select(F.col("near").alias("group"), "id")
-            pairs = edges.select(F.col("id").alias("group"), F.col("near").alias("id")).unionAll(named).unionAll(nodes.select(F.col("id").alias("group"), "id")).distinct()
-            edges = cls._kept(spark, _nearest(edges.unionAll(_compared(pairs.join(nodes, "id"), degree)), degree), f"{path}/edges-{k}")
-        return cls(path, nodes, edges)
+            pairs = cls._named(lists, degree, k).unionAll(lists.select(F.col("id").alias("group"), F.explode("near").alias("id"))).unionAll(nodes.select(F.col("id").alias("group"), "id"))
+            least = F.when(F.size("score") >= degree, F.element_at("score", degree)).otherwise(any_score)
+            known = nodes.select("id", F.col("vector").cast("array<float>").alias("vector")).join(lists.select("id", least.alias("least")), "id", "left").withColumn("least", F.coalesce("least", any_score))
+            lists = cls._kept(spark, _nearest(lists.unionAll(_met(pairs.join(known, "id"), degree, MOST_GROUP)), degree), f"{path}/edges-{k}")
+        return cls(path, nodes, copies, lists, planes)
+
+    @staticmethod
+    def _named(lists: DataFrame, degree: int, seed: int) -> DataFrame:
+        """(group, id) of those that name a node: as many as it has neighbours, by a hash that changes with the seed."""
+        chance = Window.partitionBy("group").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+        named = lists.select(F.explode("near").alias("group"), "id")
+        return named.withColumn("n", F.row_number().over(chance)).where(F.col("n") <= degree).select("group", "id")
 
     @staticmethod
     def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
@@ -152,32 +391,63 @@ class NeighbourGraph:
         return spark.read.schema(df.schema).parquet(path)
 
     def search(self, queries: DataFrame, k: int, beam: int = BEAM, digits: int = 6) -> DataFrame:
-        """(query_id, vec_id, score, rank): the k best nodes that a beam of at least k has met for each query (query_id, embedding)."""
-        spark, base, beam = self.nodes.sparkSession, f"{self.path}/search-{uuid.uuid4().hex}", max(beam, k)
-        asked = self._kept(spark, scaled(queries, "query_id", "embedding").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), f"{base}/queries")
+        """(query_id, vec_id, score, rank): the k best rows that a beam of at least k nodes has met for each query (query_id, embedding)."""
+        spark, base = self.nodes.sparkSession, f"{self.path}/search-{uuid.uuid4().hex}"
+        asked = self._kept(spark, scaled(queries, "query_id", "embedding").select(F.col("id").alias("query_id"), F.col("vector").alias("embedding")), f"{base}/queries")
+        # A node's neighbours, and those that name it.
+        links = self.lists.select("id", F.explode("near").alias("near")).unionAll(self._named(self.lists, DEGREE, 0).select(F.col("group").alias("id"), F.col("id").alias("near")))
+        links = self._kept(spark, links.groupBy("id").agg(F.collect_set("near").alias("near")), f"{base}/links")
         # A fixed number of nodes, where all queries begin.
-        entries = [F.lit(r.id) for r in self.nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id").collect()]
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-
-        def scored(pairs: DataFrame) -> DataFrame:
-            met = pairs.join(self.nodes, "id").join(asked, "query_id").where(F.size("vector") == F.size("query"))
-            dot = F.aggregate(F.zip_with("vector", "query", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-            return met.select("query_id", "id", F.round(dot, digits).alias("score"), F.lit(False).alias("seen"))
-
-        def cut(rows: DataFrame) -> DataFrame:
-            """The beam: of a node that was met again, what is known of it stays."""
-            once = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("seen").alias("seen"))
-            return once.withColumn("n", F.row_number().over(best)).where(F.col("n") <= beam).drop("n")
-
-        state = self._kept(spark, cut(scored(asked.select("query_id", F.explode(F.array(*entries).cast("array<long>")).alias("id")))), f"{base}/0")
-        for step in range(1, MOST_STEPS + 1):
-            order = Window.partitionBy("query_id", "seen").orderBy(F.desc("score"), "id")
-            ranked = state.withColumn("n", F.row_number().over(order))
-            looked = ranked.where(~F.col("seen") & (F.col("n") <= LOOKED_AT)).select("query_id", "id")
-            if looked.isEmpty():
-                break
-            nexts = looked.join(self.edges.select("id", "near"), "id").select("query_id", F.col("near").alias("id")).distinct()
-            fresh = nexts.join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
-            marked = ranked.select("query_id", "id", "score", (F.col("seen") | (F.col("n") <= LOOKED_AT)).alias("seen"))
-            state = self._kept(spark, cut(marked.unionByName(scored(fresh))), f"{base}/{step}")
-        return state.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+        entries = {r.id for r in self.nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id").collect()}
+        blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+        found = None
+        for b in range(blocks):
+            own = self._search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), links, entries, k, max(beam, k), digits, f"{base}/{b}")
+            found = own if found is None else found.unionAll(own)
+        hits = found.select("query_id", F.explode(F.slice(F.arrays_zip("ids", "scores"), 1, k)).alias("x")).select("query_id", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
+        # Of a node's rows the first k by id may be among the best.
+        firsts = self.copies.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("copy"))).where(F.col("n") <= k)
+        rows = hits.join(firsts, "id").select("query_id", F.col("copy").alias("vec_id"), "score")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def _search(self, asked: DataFrame, links: DataFrame, entries: set[int], k: int, beam: int, digits: int, base: str) -> DataFrame:
+        spark = self.nodes.sparkSession
+        rows = asked.collect()
+        shared = spark.sparkContext.broadcast(Asked([r.query_id for r in rows], [r.embedding for r in rows], self.planes))
+        number, least, steps, looked_at = self.nodes.count(), None, 0, LOOKED_AT
+        met = _first_met(self.nodes, shared, self.planes, entries, digits)
+        while True:
+            state = self._kept(spark, _pooled(met, beam, looked_at), f"{base}/{steps}")
+            steps += 1
+            if state.where(F.size("look") > 0).isEmpty():
+                if beam >= number:
+                    return state
+                if least is None:
+                    sample = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED)
+                    least = self._least(sample, k, digits)
+                if self._recall(state, least, k) >= RECALL:
+                    return state
+                # The half of a wider beam that is new is looked at in one step.
+                looked_at, beam, met = max(LOOKED_AT, beam), beam * 2, state
+                continue
+            nexts = state.select("query_id", F.explode("look").alias("id")).join(links, "id").select("query_id", F.explode("near").alias("id"))
+            asking = nexts.groupBy("id").agg(F.collect_set("query_id").alias("queries")).join(self.nodes, "id")
+            met = state.unionAll(_scored(asking, shared, digits))
+
+    def _least(self, sample: DataFrame, k: int, digits: int) -> dict[int, list[float]]:
+        """The scores of the k best nodes of some queries, of all nodes of their length."""
+        length = {r.query_id: len(r.embedding) for r in sample.collect()}
+        out: dict[int, list[float]] = {q: [] for q in length}
+        for n in set(length.values()):
+            nodes = self.nodes.where(F.size("vector") == n).withColumnRenamed("vector", "embedding")
+            own = vector_search.batch_top_k(nodes, sample.where(F.size("embedding") == n), k, vector_id="id", digits=digits)
+            for r in own.collect():
+                out[r.query_id].append(r.score)
+        return out
+
+    @staticmethod
+    def _recall(state: DataFrame, want: dict[int, list[float]], k: int) -> float:
+        got = {r.query_id: r.scores for r in state.where(F.col("query_id").isin(list(want))).select("query_id", F.slice("scores", 1, k).alias("scores")).collect()}
+        of = sum(len(x) for x in want.values())
+        return sum(sum(s >= min(x) for s in got.get(q, [])) for q, x in want.items() if x) / of if of else 1.0
