@@ -184,52 +184,64 @@ def train(rows: Iterable[tuple[str, bytes]], steps: int = STEPS, batch: int = BA
 
 
 class Reader:
-    """Inference: the network's weights, halved where a gate's sigmoid is a tanh of the half, over lanes of bytes."""
+    """Inference over lanes of bytes. Arrays have a row per unit and a column per lane, so that each step's operations run along the lanes, over whole rows. What is kept of a state s is
+    q = (1 - s) / 2, as a candidate tanh(y) is then 1 / (1 + exp(2y)), and a gate divides by 1 + exp(-x); both signs and factors are in the weights. A last row of ones brings the bias."""
 
     def __init__(self, net: Network):
         self.net, self.hidden = net, net.recurrent[0].shape[0]
-        half = np.concatenate([np.full(2 * self.hidden, 0.5), np.ones(self.hidden)]).astype(np.float32)
-        self.gates = [np.ascontiguousarray((x * half)[:, : 2 * self.hidden]) for x in net.tables]
-        self.inputs = [np.ascontiguousarray(x[:, 2 * self.hidden :]) for x in net.tables]
-        self.recurrent = [np.ascontiguousarray(x * half) for x in net.recurrent]
-        self.out = [np.ascontiguousarray(x) for x in (net.out[: self.hidden], net.out[self.hidden :])]
+        h = self.hidden
+        sign = np.concatenate([np.full(2 * h, -1.0), np.full(h, 2.0)])
+        single = lambda x: np.ascontiguousarray(x.T, np.float32)
+        # s = 1 - 2q, so x @ s is the sum of x less twice x @ q.
+        of_q = lambda x, bias: np.vstack([-2.0 * x, x.sum(0, dtype=float) + bias])
+        self.inputs = [single(x * sign) for x in net.tables]
+        self.recurrent = [single(of_q(x, np.concatenate([np.zeros(2 * h), b])) * sign) for x, b in zip(net.recurrent, net.inner, strict=True)]
+        self.out = [single(of_q(net.out[:h], net.bias)), single(of_q(net.out[h:], 0.0))]
 
     def _scores(self, steps: np.ndarray, running: np.ndarray, d: int, scores: np.ndarray) -> None:
-        """Add direction d's part of the scores [T, B, languages] of bytes [T, B], of which the first running[t] lanes have a byte at t."""
-        hidden, lanes = self.hidden, steps.shape[1]
-        state = np.zeros((lanes, hidden), np.float32)
-        u, gates, x = np.empty((lanes, 3 * hidden), np.float32), np.empty((lanes, 2 * hidden), np.float32), np.empty((lanes, hidden), np.float32)
+        """Direction d's part of the scores [T, languages, B] of bytes [T, B], of which the first running[t] lanes have a byte at t: set by the first direction, added by the other."""
+        h, lanes, k = self.hidden, steps.shape[1], 0
+        space = [np.empty(rows * lanes, np.float32) for rows in (3 * h, 3 * h, len(self.net.languages))]
+        state = np.ones((h + 1, 0), np.float32)
         for t in range(len(steps)) if d == 0 else range(len(steps) - 1, -1, -1):
-            k = running[t]
-            own, part, a, b = state[:k], u[:k], gates[:k], x[:k]
-            np.matmul(own, self.recurrent[d], out=part)
-            np.take(self.gates[d], steps[t, :k], axis=0, out=a, mode="clip")
-            np.take(self.inputs[d], steps[t, :k], axis=0, out=b, mode="clip")
-            a += part[:, : 2 * hidden]
-            np.tanh(a, out=a)
-            # a is now 2 * gate - 1.
-            candidate = part[:, 2 * hidden :]
-            candidate += self.net.inner[d]
-            a += 1
-            a *= 0.5
-            candidate *= a[:, hidden:]
-            b += candidate
-            np.tanh(b, out=b)
-            own -= b
-            own *= a[:, :hidden]
-            own += b
-            scores[t, :k] += own @ self.out[d]
+            if running[t] != k:
+                # Lanes end in one direction, and begin, with a state s of zeros, in the other.
+                before, k = state, int(running[t])
+                state = np.full((h + 1, k), 0.5, np.float32)
+                state[:, : before.shape[1]] = before[:, :k]
+                state[h] = 1
+                x, u, own = (flat[: len(flat) // lanes * k].reshape(-1, k) for flat in space)
+                gates, n, candidate, update, reset, units = x[: 2 * h], x[2 * h :], u[2 * h :], x[:h], x[h : 2 * h], state[:h]
+            np.matmul(self.recurrent[d], state, out=u)
+            np.take(self.inputs[d], steps[t, :k], axis=1, out=x, mode="clip")
+            gates += u[: 2 * h]
+            np.exp(gates, out=gates)
+            gates += 1
+            candidate /= reset
+            n += candidate
+            np.exp(n, out=n)
+            n += 1
+            np.reciprocal(n, out=n)
+            units -= n
+            units /= update
+            units += n
+            np.matmul(self.out[d], state, out=own)
+            if d == 0:
+                scores[t, :, :k] = own
+            else:
+                scores[t, :, :k] += own
 
     def scores(self, lanes: list[bytes]) -> np.ndarray:
-        """Scores [T, B, languages] of all bytes of lanes of falling length; what lies beyond a lane's end means nothing."""
+        """Scores [T, languages, B] of all bytes of lanes of falling length; beyond a lane's end they are 0."""
         lengths = np.array([len(x) for x in lanes])
         most = int(lengths[0])
-        steps = np.frombuffer(b"".join(x.ljust(most) for x in lanes), np.uint8).reshape(len(lanes), most).T.astype(np.intp)
+        steps = np.ascontiguousarray(np.frombuffer(b"".join(x.ljust(most) for x in lanes), np.uint8).reshape(len(lanes), most).T, np.intp)
         running = np.searchsorted(-lengths, -np.arange(most), side="left")
-        scores = np.empty((most, len(lanes), len(self.net.languages)), np.float32)
-        scores[:] = self.net.bias
-        self._scores(steps, running, 0, scores)
-        self._scores(steps, running, 1, scores)
+        scores = np.zeros((most, len(self.net.languages), len(lanes)), np.float32)
+        # An exp beyond single precision is an infinity, by which a gate or a candidate is the 0 that it should be.
+        with np.errstate(over="ignore"):
+            self._scores(steps, running, 0, scores)
+            self._scores(steps, running, 1, scores)
         return scores
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
@@ -239,13 +251,16 @@ class Reader:
         out = np.zeros((len(texts), len(self.net.languages)))
         for at in range(0, len(lanes), LANES):
             part = lanes[at : at + LANES]
-            scores, total = self.scores([x for _, x, _, _ in part]), np.zeros((len(part), out.shape[1]))
+            scores = self.scores([x for _, x, _, _ in part])
+            total, first, last = np.zeros(scores.shape[1:]), np.array([a for _, _, a, _ in part]), np.array([b for _, _, _, b in part])
             for t in range(0, len(scores), POSITIONS):
-                p = _softmax(scores[t : t + POSITIONS])
+                p = scores[t : t + POSITIONS]
+                p -= p.max(1, keepdims=True)
+                np.exp(p, out=p)
                 places = np.arange(t, t + len(p))[:, None]
-                inside = (places >= [a for _, _, a, _ in part]) & (places < [b for _, _, _, b in part])
-                total += np.einsum("tbl,tb->bl", p, inside.astype(np.float32))
-            np.add.at(out, [k for k, _, _, _ in part], total)
+                p *= (((places >= first) & (places < last)) / p.sum(1))[:, None].astype(np.float32)
+                total += p.sum(0)
+            np.add.at(out, [k for k, _, _, _ in part], total.T)
         return out
 
     def predict(self, texts: list[bytes | None]) -> Iterator[tuple[str, float]]:

@@ -477,6 +477,21 @@ def test_reader_equals_slow_loop(monkeypatch):
     assert np.allclose(language.Reader(net).sums(rows), want, atol=0.05)
 
 
+@pytest.mark.parametrize("factor", [1, 200])
+def test_reader_has_a_column_per_lane(factor):
+    """op10: a step's arrays run along the lanes, not along a lane's few units; and weights whose exponentials overflow give the network's own probabilities."""
+    net = language.Network.start(["a", "b", "c"])
+    for w in [*net.tables, *net.recurrent]:
+        w *= factor
+    rng = np.random.default_rng(3)
+    lanes = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (40, 40, 31, 7, 1)]
+    scores = language.Reader(net).scores(lanes)
+    assert scores.shape == (40, 3, 5) and np.isfinite(scores).all()
+    for k, raw in enumerate(lanes):
+        want = net.positions(np.frombuffer(raw, np.uint8)[:, None])[:, 0]
+        assert np.allclose(language._softmax(scores[: len(raw), :, k]), want, atol=1e-5 if factor == 1 else 1e-3)
+
+
 @given(st.binary(max_size=400), st.integers(1, 90), st.integers(0, 20))
 def test_segments_label_every_byte_once(raw, size, warm):
     with pytest.MonkeyPatch.context() as patch:
