@@ -35,7 +35,7 @@ DEGREE = 16
 PART = 4096
 GROWTH = 40
 VALUES = 2**23
-#: Groups whose edges are asked for in Spark are compared in pieces of so many; scores that a task holds at once.
+#: Groups that are no parts and larger than this are compared in pieces; scores that a task holds at once.
 MOST_GROUP = 128
 SCORES_AT_ONCE = 2**22
 #: The best nodes that a query looks at, at first and for the next trial, trials made at once, and nodes looked at in a step.
@@ -43,7 +43,7 @@ BEAM = 96
 WIDER = 1.5
 TRIALS = 6
 LOOKED_AT = 32
-#: Where a query begins in a part: fixed nodes, groupings, nodes of a group, about, and those of them that are taken.
+#: Where a query begins in a part: the first nodes by a hash, groupings, nodes of a group, about, and those of them that are taken.
 ENTRIES = 16
 ENTRY_GROUPINGS = 4
 LEAF = 512
@@ -169,7 +169,7 @@ def _met(members: DataFrame, degree: int, most: int, groups: int | None = None)
 
     rows = members.select("group", "id", F.col("vector").cast("array<float>").alias("vector"), F.col("least").cast("float").alias("least"))
     dealt = rows.repartitionById(groups, F.col("group").cast("int")) if groups else rows.repartition("group")
-    return dealt.sortWithinPartitions("group", F.xxhash64("id")).mapInArrow(run, EDGES)
+    return dealt.sortWithinPartitions("group", F.xxhash64("id"), "id").mapInArrow(run, EDGES)
 
 
 def _each(lists: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def _tried(parts: DataFrame, number: int, shared, beams: Sequence[int], k: int,
 
     split = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))) if splits > 1 else F.lit(0)
     rows = parts.withColumn("split", split).select((F.col("part") * splits + F.col("split")).alias("task"), "id", "vector", "near")
-    return rows.repartitionById(number * splits, F.col("task").cast("int")).sortWithinPartitions("task").mapInArrow(run, TRIED)
+    return rows.repartitionById(number * splits, F.col("task").cast("int")).sortWithinPartitions("task", F.xxhash64("id"), "id").mapInArrow(run, TRIED)
 
 
 @dataclass
